@@ -6,15 +6,8 @@ from importlib import import_module
 
 # Query name -> module that defines it.
 WHERE = {
-    "op1_suffix_dedup": "suffix_dedup",
-    "op2_fingerprints": "fingerprints",
     "op3_bpe": "codec",
-    "op4_ngram_join": "jaccard_join",
-    "op5_licenses": "licenses",
-    "op6_toxicity": "toxicity",
-    "op7_neighbours": "neighbours",
     "op8_packing": "packing",
-    "op9_language": "language",
     "op10_token_files": "token_files",
 }
 
