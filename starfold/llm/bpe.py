@@ -8,6 +8,7 @@ takes the place of the scan and gives the same merges.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -17,8 +18,9 @@ import numpy as np
 
 LONG = 400  # parts of a word from which on the heap is used
 WIDE = 32  # parts up to which words are merged many at a time
-CACHE = 400_000  # words kept for good; later ones are kept until RECENT more have come
+CACHE = 300_000  # words kept for good; later ones are kept until RECENT more have come
 RECENT = 100_000
+BLOCK = 256  # texts whose words are looked up together
 NEVER = 1 << 30
 
 
@@ -44,6 +46,13 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 BYTE_CHUNK = " ?[^S]+|[S]+(?![^S])|[S]+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # these part words for str.split, but are no white space here
 
+OTHER_SPACE = re.compile("[S]".replace("S", WHITE.replace("\\t-\\r ", "\\t\\x0b-\\r")))
+
+
+def single_spaced(text: str) -> bool:
+    """Whether every space stands alone between two characters that are no white space (other white space: a newline at most)."""
+    return not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
+
 
 def splitter(pattern: str):
     letters, numbers = char_class("L"), char_class("N")
@@ -79,7 +88,7 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.find_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
-        self.chunks = str.split if self.words else re.compile(BYTE_CHUNK.replace("S", WHITE)).findall
+        self.chunks = re.compile(BYTE_CHUNK.replace("S", WHITE)).findall
         self.split = splitter(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.alphabet = byte_alphabet()
         self.byte_id = [vocab.get(c) for c in self.alphabet]
@@ -106,6 +115,7 @@ class Bpe:
             self.bytes_of[i] = token.encode()
         self.decimal = [str(i) for i in range(self.size)]
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # chunks that one space leads, without it
 
     def _tabulate(self) -> None:
         """The merges as flat arrays for look-ups of many pairs at once: open addressing, one array per probe."""
@@ -256,27 +266,56 @@ class Bpe:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts (null or empty: none); words that the cache lacks are merged together."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived lists, none in a cycle, would make the collector walk the caches
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for at in range(0, len(texts), 128):
-            parts, words = [], []
-            for t in texts[at : at + 128]:
+        for at in range(0, len(texts), BLOCK):
+            parts, words, spaced = [], [], []
+            for t in texts[at : at + BLOCK]:
                 t = t or ""
                 cut = self.find_special.split(t) if self.find_special is not None and "<|" in t else [t]
-                words += [self.pieces(x) if self.words and ODD_SPACE.search(x) else self.chunks(x) for x in cut[::2]]
+                for x in cut[::2]:
+                    if self.words:
+                        words.append(self.pieces(x) if ODD_SPACE.search(x) else x.split())
+                        spaced.append(())
+                    elif not single_spaced(x):
+                        words.append(self.chunks(x))
+                        spaced.append(())
+                    else:  # single spaces between other characters: each leads the chunk after it
+                        rest = x.split(" ")
+                        words.append(rest[:1] if x else [])
+                        spaced.append(rest[1:])
                 parts.append(cut)
-            if len(self.cache) > CACHE + RECENT:  # entries past CACHE are recent ones: they go when RECENT of them have come
-                for w in list(self.cache)[CACHE:]:
-                    del self.cache[w]
-            get = self.cache.__getitem__
+            for kept in (self.cache, self.spaced):
+                if len(kept) > CACHE + RECENT:  # entries past CACHE are recent ones: they go when RECENT of them have come
+                    for w in list(kept)[CACHE:]:
+                        del kept[w]
+            get, get_spaced = self.cache.__getitem__, self.spaced.__getitem__
             missing = {c: self.pieces(c) for c in set().union(*words) if c not in self.cache}
-            if missing:
-                self.learn([w for w in set().union(*missing.values()) if w not in self.cache])
-                for c, cut in missing.items():
-                    self.cache[c] = get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut))
-            made = iter(words)
+            missing_spaced = {c: self.pieces(" " + c) for c in set().union(*spaced) if c not in self.spaced}
+            if missing or missing_spaced:
+                self.learn([w for w in set().union(*missing.values(), *missing_spaced.values()) if w not in self.cache])
+                for dest, new in ((self.cache, missing), (self.spaced, missing_spaced)):
+                    for c, cut in new.items():
+                        dest[c] = get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut))
+            made = zip(words, spaced, strict=True)
             for cut in parts:
-                raw = [np.array([self.special[x]], self.dtype).tobytes() if i % 2 else b"".join(map(get, next(made))) for i, x in enumerate(cut)]
-                out.append(np.frombuffer(raw[0] if len(raw) == 1 else b"".join(raw), self.dtype))
+                raw = []
+                for i, x in enumerate(cut):
+                    if i % 2:
+                        raw.append(np.array([self.special[x]], self.dtype).tobytes())
+                    else:
+                        w, rest = next(made)
+                        raw.append(b"".join(map(get, w)))
+                        raw.append(b"".join(map(get_spaced, rest)))
+                out.append(np.frombuffer(b"".join(raw), self.dtype))
         return out
 
     def encode(self, text: str) -> np.ndarray:
