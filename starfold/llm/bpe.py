@@ -44,6 +44,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 # A text is first cut at white space, which no pattern crosses but for one leading space; only chunks that the cache lacks meet the full pattern.
 BYTE_CHUNK = " ?[^S]+|[S]+(?![^S])|[S]+"
+STOPS = (".", ",")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # these part words for str.split, but are no white space here
 
 OTHER_SPACE = re.compile("[S]".replace("S", WHITE.replace("\\t-\\r ", "\\t\\x0b-\\r")))
@@ -259,6 +260,17 @@ class Bpe:
             block = short[i : i + 2048]
             self.cache.update(zip([w for _, w, _ in block], self.merge_words([raw for _, _, raw in block]), strict=True))
 
+    def chunk_pieces(self, chunk: str, lead: str) -> list[str]:
+        """``pieces`` of ``lead`` (nothing or one space) and a chunk; letters alone, or with one stop after them, need no pattern."""
+        if self.words:
+            chunk = lower(chunk)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [lead + chunk]
+            if chunk[-1:] in STOPS and chunk[:-1].isalpha():
+                return [lead + chunk[:-1], chunk[-1]]
+        return self.pieces(lead + chunk)
+
     def pieces(self, text: str) -> list[str]:
         if self.words:  # white space only parts words, so runs of it need no change
             text = lower(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
@@ -298,8 +310,8 @@ class Bpe:
                     for w in list(kept)[CACHE:]:
                         del kept[w]
             get, get_spaced = self.cache.__getitem__, self.spaced.__getitem__
-            missing = {c: self.pieces(c) for c in set().union(*words) if c not in self.cache}
-            missing_spaced = {c: self.pieces(" " + c) for c in set().union(*spaced) if c not in self.spaced}
+            missing = {c: self.chunk_pieces(c, "") for c in set().union(*words) if c not in self.cache}
+            missing_spaced = {c: self.chunk_pieces(c, " ") for c in set().union(*spaced) if c not in self.spaced}
             if missing or missing_spaced:
                 self.learn([w for w in set().union(*missing.values(), *missing_spaced.values()) if w not in self.cache])
                 for dest, new in ((self.cache, missing), (self.spaced, missing_spaced)):
