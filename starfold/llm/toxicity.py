@@ -68,8 +68,8 @@ def words_of(texts: list[str]):
     size = np.diff(bounds) - 1
     single = np.concatenate([[False], size == 1, [False]])  # by the words before and after each bound
     inner = single[:-1] & single[1:] & (text[np.minimum(bounds + 1, len(text) - 1)] == text[np.maximum(bounds - 1, 0)])
-    far = np.flatnonzero(np.diff(bounds) > LONGEST)
-    cut = [p for k in far for p in range(int(bounds[k]) + LONGEST, int(bounds[k + 1]), LONGEST)]
+    far = np.flatnonzero(np.diff(bounds) > LONGEST + 1)
+    cut = [p for k in far for p in range(int(bounds[k]) + 1 + LONGEST, int(bounds[k + 1]), LONGEST)]
     if inner.any():
         gone = bounds[inner]
         if cut:
