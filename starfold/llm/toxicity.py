@@ -68,13 +68,11 @@ def words_of(texts: list[str]):
     size = np.diff(bounds) - 1
     single = np.concatenate([[False], size == 1, [False]])  # by the words before and after each bound
     inner = single[:-1] & single[1:] & (text[np.minimum(bounds + 1, len(text) - 1)] == text[np.maximum(bounds - 1, 0)])
+    if inner.any():
+        codes, text = np.delete(codes, bounds[inner]), np.delete(text, bounds[inner])
+        bounds = np.flatnonzero(codes == 0)
     far = np.flatnonzero(np.diff(bounds) > LONGEST + 1)
     cut = [p for k in far for p in range(int(bounds[k]) + 1 + LONGEST, int(bounds[k + 1]), LONGEST)]
-    if inner.any():
-        gone = bounds[inner]
-        if cut:
-            cut = (np.array(cut) - np.searchsorted(gone, cut)).tolist()
-        codes, text = np.delete(codes, gone), np.delete(text, gone)
     if cut:  # a very long word is compared piece by piece
         codes, text = np.insert(codes, cut, 0), np.insert(text, cut, text[cut])
     bounds = np.flatnonzero(codes == 0)
