@@ -228,17 +228,10 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other", "n")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every row.
-
-    Rows are linked if their shingle sets have a Jaccard similarity of 0.8 or more; a class is a component of links and
-    equal texts, and ``class_id`` its least doc_id.  ``n_links`` counts the other texts (not rows) that a row's text is
-    linked to, ``n_copies`` the rows of equal text.  Null and empty texts are equal to each other and link to nothing;
-    repeated rows are copies; other columns fall away.
-    """
-    spark = docs.sparkSession
+def text_classes(rows: DataFrame) -> DataFrame:
+    """``th, rep, class_id, n_links, n_copies`` of each distinct text of ``doc_id, text, th``, written to the shared folder."""
+    spark = rows.sparkSession
     shared.small_batches(spark, rows=1000, bytes_="8m")
-    rows = shared.id_text(docs).withColumn("th", F.unhex(F.md5(F.col("text").cast("binary"))))
 
     def sign(batches):
         for b in batches:
@@ -261,10 +254,37 @@ def classes(docs: DataFrame) -> DataFrame:
     linked = checked.groupBy("th").agg(F.sum("links").alias("links"))
     known = texts.select("th", "rep", "n_copies").join(linked, "th", "left").join(roots.select(F.col("u").alias("th"), F.col("v").alias("root")), "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select("th", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
+    known = known.join(least, "root").select("th", "rep", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
     known, _ = shared.written(known, "classes")
     shared.remove(spark, texts_path, checked_path)
-    return rows.select("doc_id", "th").join(known, "th").select("doc_id", "class_id", "n_links", "n_copies")
+    return known
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``th``, the MD5 of the text (null: empty)."""
+    return docs.withColumn("th", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of every row.
+
+    Rows are linked if their shingle sets have a Jaccard similarity of 0.8 or more; a class is a component of links and
+    equal texts, and ``class_id`` its least doc_id.  ``n_links`` counts the other texts (not rows) that a row's text is
+    linked to, ``n_copies`` the rows of equal text.  Null and empty texts are equal to each other and link to nothing;
+    repeated rows are copies; other columns fall away.
+    """
+    rows = keyed(shared.id_text(docs))
+    return rows.select("doc_id", "th").join(text_classes(rows), "th").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each class the row with the least doc_id (nulls: one of them)."""
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    known = text_classes(keyed(shared.id_text(docs))).where(F.col("rep").eqNullSafe(F.col("class_id")))
+    # texts of one class that share the least doc_id: the least hash stays
+    kept = known.groupBy("class_id").agg(F.min("th").alias("_th")).select(F.col("class_id").alias("_rep"), "_th")
+    joined = rows.join(kept.withColumnRenamed("_th", "_kept"), (F.col("_th") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_rep")))
+    return joined.dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
