@@ -292,7 +292,7 @@ def rss_grid(lc: DataFrame, template: Template, pmin: float, dphi: float, pmax:
         t, mag, err = (pdf[c].to_numpy(float) for c in ("t", "mag", "magerr"))
         freq = frequencies(t, pmin, dphi, pmax)
         if not len(freq):
-            return pd.DataFrame({c.split()[0]: [] for c in RSS_GRID.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in RSS_GRID.split(", ")})
         rss, phi, _ = fitted(t, mag, err, pdf["band"].tolist(), template, freq, **how)
         return pd.DataFrame({"object_id": key[0], "template_id": template.name, "k": np.arange(len(freq)), "period": 1 / freq, "rss": rss, "phi": phi})
 

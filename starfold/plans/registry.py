@@ -240,8 +240,7 @@ def psi_multiband(spark, sf):
 
 @query(f"WITH {LC}, {GOOD}, {SPAN}, {_grid()}, {STATS}, {POWER}, tot AS (SELECT object_id, k, period, sum(power) AS power FROM power GROUP BY 1, 2, 3) SELECT object_id, round(arg_max(period, (power, -k)), 6) AS period, {r6('max(power)')} AS power FROM tot GROUP BY 1")
 def best_period(spark, sf):
-    lc = _lc(spark, sf)
-    power = periodogram.lomb_scargle(periodogram.usable(lc), grid.search_grid(grid.spans(lc), PMIN, DPHI))
+    power = periodogram.hybrid(_lc(spark, sf), PMIN, DPHI, theta=False)
     return rounded(peaks.best_period(power.groupBy("object_id", "k", "period").agg(F.sum("power").alias("power")), "power"), "period", "power")
 
 
