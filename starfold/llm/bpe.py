@@ -24,11 +24,11 @@ BLOCK = 256  # texts whose words are looked up together
 NEVER = 1 << 30
 
 
-def char_class(*kinds: str) -> str:
-    """A character class of all code points of these general categories, as ranges that the standard ``re`` can compile."""
+def char_class(chars: set[int], kind: str) -> str:
+    """A character class, as ranges that the standard ``re`` can compile: this general category, and ``chars``."""
     out, start = [], None
     for c in range(0x110001):
-        if c < 0x110000 and unicodedata.category(chr(c))[0] in kinds:
+        if c < 0x110000 and (unicodedata.category(chr(c))[0] == kind or c in chars):
             start = c if start is None else start
         elif start is not None:
             out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
@@ -36,6 +36,19 @@ def char_class(*kinds: str) -> str:
     return "".join(out)
 
 
+def newer_characters(library) -> tuple[set[int], set[int], dict[int, str]]:
+    """(letters, numbers, normal forms) of characters that the library's Unicode version has and Python's lacks."""
+    import regex
+
+    every = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    new = regex.findall(r"[\p{L}\p{N}]", every)
+    pieces = lambda x: len(library.pre_tokenizer.pre_tokenize_str(x))
+    letters = {ord(c) for c in new if pieces("a" + c) == 1}
+    numbers = {ord(c) for c in new if ord(c) not in letters and pieces("!" + c) == 2}
+    normal = library.normalizer and {ord(c): n for c in new if (n := library.normalizer.normalize_str(c)) != c}
+    return letters, numbers, normal or {}
+
+
 # The split patterns of the two vocabularies (L: letters, N: numbers, S: white space).
 BYTE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
@@ -55,8 +68,8 @@ def single_spaced(text: str) -> bool:
     return not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
 
 
-def splitter(pattern: str):
-    letters, numbers = char_class("L"), char_class("N")
+def splitter(pattern: str, letters: set[int], numbers: set[int]):
+    letters, numbers = char_class(letters, "L"), char_class(numbers, "N")
     return re.compile(re.sub(r"[LNS](?=[LNS]*\])", lambda m: {"L": letters, "N": numbers, "S": WHITE}[m[0]], pattern))
 
 
@@ -90,7 +103,12 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.find_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self.chunks = re.compile(BYTE_CHUNK.replace("S", WHITE)).findall
-        self.split = splitter(WORD_PATTERN if self.words else BYTE_PATTERN).findall
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        letters, numbers, self.newer = newer_characters(library)
+        self.find_newer = re.compile("[" + "".join(map(chr, self.newer)) + "]") if self.newer else None
+        self.split = splitter(WORD_PATTERN if self.words else BYTE_PATTERN, letters, numbers).findall
         self.alphabet = byte_alphabet()
         self.byte_id = [vocab.get(c) for c in self.alphabet]
         self.last_id = [vocab.get(c + self.suffix) for c in self.alphabet]
@@ -103,9 +121,7 @@ class Bpe:
                 self.rank[vocab[a] << 20 | vocab[b]] = (r, vocab[a + b])
             self._tabulate()
         else:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
+            self.library = library
             self.library.no_truncation()
             self.library.no_padding()
         code = {c: b for b, c in enumerate(self.alphabet)}
@@ -273,6 +289,8 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str]:
         if self.words:  # white space only parts words, so runs of it need no change
+            if self.find_newer is not None and self.find_newer.search(text):
+                text = text.translate(self.newer)
             text = lower(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
         return self.split(text)
 
