@@ -44,7 +44,7 @@ def probes(threshold: float = THRESHOLD) -> list[str]:
     out = set()
     for _, text in TEMPLATES:
         own = bigrams(text)
-        need = len(own) - math.ceil(len(own) * threshold / (2 - threshold)) + 1
+        need = len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9) + 1
         out |= set(sorted(own, key=lambda b: (-len(b), b))[:need])
     return sorted(out)
 
