@@ -63,6 +63,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 said.append(sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 back.append(sha256(model.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        shared.trim()
 
     shared.small_batches(docs.sparkSession)
     return shared.id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -162,6 +162,7 @@ def prune(batches):
             u += (a + root[hit]).tolist()
             v += (a + hit).tolist()
         yield pa.RecordBatch.from_arrays([pa.array([th[i] for i in u], pa.binary()), pa.array([th[i] for i in v], pa.binary())], ["u", "v"])
+    shared.trim()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -216,6 +217,7 @@ def verify(batches):
                 root.append(names[rows[least[k]]])
                 links.append(int(linked[k].sum()))
         yield pa.RecordBatch.from_arrays([pa.array(th, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64())], ["th", "root", "links"])
+    shared.trim()
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -236,6 +238,7 @@ def text_classes(rows: DataFrame) -> DataFrame:
     def sign(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signatures(b.column(2).to_pylist()), pa.binary())], ["doc_id", "th", "sig"])
+        shared.trim()
 
     signed = rows.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th binary, sig binary")
     texts, texts_path = shared.written(signed.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "texts")
@@ -279,12 +282,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each class the row with the least doc_id (nulls: one of them)."""
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    own = {k: f"_starfold_{k}" for k in ("id", "th", "kept", "rep")}  # names that no column of docs has
+    rows = docs.withColumn(own["id"], F.col("doc_id").cast("long")).withColumn(own["th"], F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     known = text_classes(keyed(shared.id_text(docs))).where(F.col("rep").eqNullSafe(F.col("class_id")))
     # texts of one class that share the least doc_id: the least hash stays
-    kept = known.groupBy("class_id").agg(F.min("th").alias("_th")).select(F.col("class_id").alias("_rep"), "_th")
-    joined = rows.join(kept.withColumnRenamed("_th", "_kept"), (F.col("_th") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_rep")))
-    return joined.dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    kept = known.groupBy("class_id").agg(F.min("th").alias(own["kept"])).withColumnRenamed("class_id", own["rep"])
+    joined = rows.join(kept, (F.col(own["th"]) == F.col(own["kept"])) & F.col(own["id"]).eqNullSafe(F.col(own["rep"])))
+    return joined.dropDuplicates([own["id"], own["th"]]).drop(*own.values())
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,11 +177,14 @@ def label(model: Model, texts: list[str | None], with_spans: bool = False):
     the whole text.  Spans are (language, start, end) in code points.
     """
     texts = [t or "" for t in texts]
-    codes, letter, starts, ends, text, begin = words_of(texts)
     n = len(model.languages)
-    if not n or not len(starts):
+    parts = []
+    for a, b in shared.pieces(texts) if n else ():
+        codes, letter, starts, ends, text, begin = words_of(texts[a:b])
+        parts.append((word_scores(model, codes, letter, starts, ends), text + a, starts - begin[text], ends - begin[text]))
+    if not sum(len(p[1]) for p in parts):
         return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-    scores = word_scores(model, codes, letter, starts, ends)
+    scores, text, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
     counts = np.bincount(text, minlength=len(texts))
     path = viterbi(scores, counts)
     letters = np.bincount(text * n + path, weights=ends - starts, minlength=len(texts) * n).reshape(-1, n)
@@ -197,7 +200,7 @@ def label(model: Model, texts: list[str | None], with_spans: bool = False):
         edge = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (text[1:] != text[:-1])]))
         for a, b in zip(edge, [*edge[1:], len(path)], strict=True):
             d = text[a]
-            spans[d].append({"lang": model.languages[path[a]], "start": int(starts[a] - begin[d]), "end": int(ends[b - 1] - begin[d])})
+            spans[d].append({"lang": model.languages[path[a]], "start": int(starts[a]), "end": int(ends[b - 1])})
     found = [model.languages[k] if c else "und" for k, c in zip(top, counts, strict=True)]
     return found, np.where(counts > 0, np.clip(score, 0, 1), 0.0).tolist(), spans
 
@@ -215,8 +218,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             lang, score, spans = label(told.value, b.column(1).to_pylist(), True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+            shared.trim()
 
-    shared.small_batches(docs.sparkSession, rows=1000, bytes_="8m")
+    shared.small_batches(docs.sparkSession, rows=2000, bytes_="8m")
     return shared.id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
 
 

@@ -64,6 +64,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
             if with_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        shared.trim()
 
     shared.small_batches(docs.sparkSession)
     return shared.id_text(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

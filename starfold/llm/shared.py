@@ -67,5 +67,28 @@ def crc32_mod3(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 3
 
 
+def pieces(texts: list, size: int = 1 << 20):
+    """Ranges (a, b) of consecutive texts of about ``size`` characters in all, so that flat arrays over a range stay small."""
+    a, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total >= size or i + 1 == len(texts):
+            yield a, i + 1
+            a, total = i + 1, 0
+
+
+def trim() -> None:
+    """Give memory that a batch has freed back to the system: workers live on, and two of them share an executor with its JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

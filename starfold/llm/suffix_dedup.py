@@ -38,6 +38,7 @@ SPREAD = 20_000  # contexts of one k-gram over all blocks beyond which blocks se
 ROWS = "kind int, a int, b int, block int, raw binary"
 ASK, TELL, SAMPLE = 0, 1, 2
 CONTEXT, SPAN_, WINDOW = 0, 1, 2
+NO_ID = -(1 << 63)  # stands for a null doc_id inside
 COPY = 1 << 40  # place of the next row with the same doc_id
 
 
@@ -64,6 +65,7 @@ def by_value(value: np.ndarray):
 
 
 def rows_of(rows: list[tuple]) -> pd.DataFrame:
+    shared.trim()
     return pd.DataFrame(rows, columns=["kind", "a", "b", "block", "raw"]).astype({"kind": "int32", "a": "int32", "b": "int32", "block": "int32"})
 
 
@@ -130,10 +132,9 @@ def answered(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def in_order(docs: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """Rows by (doc_id, text), null ids first; (rows, ids as integers, offset that keeps rows of one doc_id apart)."""
-    ids = docs["doc_id"].fillna(-(1 << 63)).astype("int64") if docs["doc_id"].isna().any() else docs["doc_id"].astype("int64")
-    docs = docs.assign(_id=ids).sort_values(["_id", "text"], kind="stable").reset_index(drop=True)
-    return docs, docs["_id"].to_numpy(), docs.groupby("_id").cumcount().to_numpy() * COPY
+    """Rows by (doc_id, text); (rows, ids, offset that keeps rows of one doc_id apart)."""
+    docs = docs.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+    return docs, docs["doc_id"].to_numpy(np.int64), docs.groupby("doc_id").cumcount().to_numpy() * COPY
 
 
 def settle(c: Contexts, gram, rows: list, exchange: np.ndarray, n_buckets: int) -> None:
@@ -244,7 +245,7 @@ def compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return rows_of(rows)
 
 
-def cut(docs: pd.DataFrame, spans: pd.DataFrame, extra: list[str]) -> pd.DataFrame:
+def cut(docs: pd.DataFrame, spans: pd.DataFrame, extra: list[str] | None) -> pd.DataFrame:
     """Step 5, per block."""
     docs, ids, apart = in_order(docs)
     texts = [t.encode() for t in docs["text"]]
@@ -277,22 +278,18 @@ def cut(docs: pd.DataFrame, spans: pd.DataFrame, extra: list[str]) -> pd.DataFra
             out["kept_sha256"].append(sha256(kept).hexdigest())
             out["kept"].append(kept.decode("utf-8", "ignore"))
     made = pd.DataFrame(out, index=docs.index)
-    if not extra:
-        return pd.concat([docs[["doc_id"]], made.drop(columns="kept")], axis=1)
-    return pd.concat([docs[["doc_id", *extra]], made], axis=1)
+    made = made.drop(columns="kept") if extra is None else made
+    shared.trim()
+    return pd.concat([docs[["doc_id", *(extra or [])]], made], axis=1)
 
 
-def deduplicated(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; with ``extra`` (names of other columns, may be empty) those and ``kept``, the text left.
-
-    Null texts are read as empty; texts under 100 bytes lose nothing.  Null doc_ids come before all others; rows of one
-    doc_id count as a sequence in text order, so the second of two repeated rows goes.  ``kept`` leaves out what a cut
-    left of a character.  An empty table gives an empty result.
-    """
+def _cut(docs: DataFrame, extra: list[str] | None) -> DataFrame:
+    """The operator; columns ``extra`` of docs come back as x0, x1, ... beside ``kept``, the text left."""
     spark = docs.sparkSession
     shared.small_batches(spark, rows=4000, bytes_="8m")
-    extra_ = [] if extra is None else [c for c in extra if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra_)
+    own = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra or [])]
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"), *own)
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BLOCK_BYTES))
     ranges = min(n_blocks, RANGES)
@@ -316,18 +313,40 @@ def deduplicated(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
         return spread(int(key[0]), left, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), splitters, subs, n_blocks)
 
     dealt = blocked.select("block", "doc_id", "text").groupBy("block").cogroup(told.select(F.col("a").alias("block"), "raw").groupBy("block")).applyInPandas(block_step, ROWS)
-    found, found_path = shared.written(dealt.groupBy("kind", "a", "b").applyInPandas(ranged(n_blocks), ROWS), "spans")
+    found, _ = shared.written(dealt.groupBy("kind", "a", "b").applyInPandas(ranged(n_blocks), ROWS), "spans")
     shared.remove(spark, told_path)
     shared.release_shuffles(spark)
     across = found.where(F.col("kind") == WINDOW).groupBy("a").applyInPandas(compared, ROWS)
     spans = found.where(F.col("kind") == SPAN_).unionByName(across).select(F.col("a").alias("block"), "raw")
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    result = ["doc_id long", *(f"`{c}` {kinds[c]}" for c in extra_), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept string"] if extra is not None else [])]
-    last = lambda key, left, right: cut(left, right, [*extra_, "text"] if extra is not None else [])
-    if extra is not None:
-        result.insert(1 + len(extra_), "text string")
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(last, ", ".join(result))
+    names = None if extra is None else [f"x{i}" for i in range(len(extra))]
+    result = ["doc_id long", *(f"{c} {kinds[c]}" for c in names or []), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept string"] if extra is not None else [])]
+    out = blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(lambda key, left, right: cut(left, right, names), ", ".join(result))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
+
+    Null texts are read as empty; texts under 100 bytes lose nothing.  Null doc_ids come before all others; rows of one
+    doc_id count as a sequence in text order, so the second of two repeated rows goes.  An empty table gives an empty
+    result; other columns fall away.
+    """
+    return _cut(docs, None)
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts: same columns, ``n_chars`` (where there is one) counted anew.
+
+    Bytes that a cut left of a character go too.  Rows stay even if nothing is left of them.
+    """
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _cut(docs, extra)
+    name = {c: F.col(f"x{i}") for i, c in enumerate(extra)} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
+    if "n_chars" in name:
+        name["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(name[c].alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

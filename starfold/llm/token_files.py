@@ -79,6 +79,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 0
         if files:
             for f in files:
                 f.close()
+            shared.trim()
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "n_docs": n_docs, "n_tokens": off, "n_null": n_null, "width": model.dtype.itemsize, "stem": stem}], schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_null", pa.int64()), ("width", pa.int32()), ("stem", pa.string())]))
 
     shared.small_batches(docs.sparkSession)

@@ -182,7 +182,7 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
 
 def score(model: Model, texts: list[str | None]) -> np.ndarray:
     """Scores from 0 to 1; null and empty texts score as texts without words."""
-    m = margins(model, [t or "" for t in texts])
+    m = np.concatenate([np.zeros((0, TOP), np.float32), *(margins(model, [t or "" for t in texts[a:b]]) for a, b in shared.pieces(texts, 1 << 19))])
     return 1 / (1 + np.exp(-(m @ model.curve[:-1] + model.curve[-1])))
 
 
@@ -295,6 +295,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(told.value, b.column(1).to_pylist()).astype(float))], ["doc_id", "score"])
+            shared.trim()
 
     shared.small_batches(docs.sparkSession, rows=500, bytes_="4m")
     return shared.id_text(docs).mapInArrow(run, "doc_id long, score double")
