@@ -23,10 +23,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     def found(texts):
         import pandas as pd
 
-        return pd.Series(language.label(told.value, texts.tolist())[0])
+        found = pd.Series(language.label(told.value, texts.tolist())[0])
+        shared.trim()
+        return found
 
     shared.small_batches(spark, rows=1000, bytes_="8m")
-    return docs.where(found(F.coalesce("text", F.lit(""))) != "und").select(*docs.columns)
+    return docs.where(found(F.coalesce("text", F.lit(""))) != "und")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +39,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def score(texts):
         import pandas as pd
 
-        return pd.Series(toxicity.score(told.value, texts.tolist()).astype(float))
+        scores = pd.Series(toxicity.score(told.value, texts.tolist()).astype(float))
+        shared.trim()
+        return scores
 
     shared.small_batches(spark, rows=500, bytes_="4m")
-    return docs.where(score(F.coalesce("text", F.lit(""))) < TOXIC).select(*docs.columns)
+    return docs.where(score(F.coalesce("text", F.lit(""))) < TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the bytes that repeat earlier text from every document; ``n_chars`` counts what is left."""
-    kept = suffix_dedup.deduplicated(docs, [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    return suffix_dedup.cut_texts(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
