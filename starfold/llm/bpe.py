@@ -268,13 +268,13 @@ class Bpe:
         for w in missing:
             raw = w.encode()
             if len(raw) <= WIDE:
-                short.append((len(raw), w, raw))
+                short.append((w, raw))
             else:
                 self.cache[w] = np.array(self.merge_word(raw), self.dtype).tobytes()
-        short.sort()
+        short.sort(key=lambda x: len(x[1]))
         for i in range(0, len(short), 2048):
             block = short[i : i + 2048]
-            self.cache.update(zip([w for _, w, _ in block], self.merge_words([raw for _, _, raw in block]), strict=True))
+            self.cache.update(zip([w for w, _ in block], self.merge_words([raw for _, raw in block]), strict=True))
 
     def chunk_pieces(self, chunk: str, lead: str) -> list[str]:
         """``pieces`` of ``lead`` (nothing or one space) and a chunk; letters alone, or with one stop after them, need no pattern."""
@@ -328,13 +328,12 @@ class Bpe:
                     for w in list(kept)[CACHE:]:
                         del kept[w]
             get, get_spaced = self.cache.__getitem__, self.spaced.__getitem__
-            missing = {c: self.chunk_pieces(c, "") for c in set().union(*words) if c not in self.cache}
-            missing_spaced = {c: self.chunk_pieces(c, " ") for c in set().union(*spaced) if c not in self.spaced}
-            if missing or missing_spaced:
-                self.learn([w for w in set().union(*missing.values(), *missing_spaced.values()) if w not in self.cache])
-                for dest, new in ((self.cache, missing), (self.spaced, missing_spaced)):
-                    for c, cut in new.items():
-                        dest[c] = get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut))
+            fresh = [(self.cache, "", set().union(*words).difference(self.cache)), (self.spaced, " ", set().union(*spaced).difference(self.spaced))]
+            if fresh[0][2] or fresh[1][2]:
+                cut_up = [[(c, self.chunk_pieces(c, lead)) for c in new] for _, lead, new in fresh]
+                self.learn(list({w for cuts in cut_up for _, cut in cuts for w in cut}.difference(self.cache)))
+                for (dest, _, _), cuts in zip(fresh, cut_up, strict=True):
+                    dest.update([(c, get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut))) for c, cut in cuts])
             made = zip(words, spaced, strict=True)
             for cut in parts:
                 raw = []

@@ -94,9 +94,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for b in batches:
             for s in b.to_pylist():
                 ids, off, doc = _mapped(s["stem"] + ".ids", f"<u{s['width']}"), _mapped(s["stem"] + ".off", "<i8"), _mapped(s["stem"] + ".doc", "<i8")
-                for i in range(0, s["n_docs"], 4096):
-                    j = min(i + 4096, s["n_docs"])
-                    crc = [zlib.crc32(np.asarray(ids[off[k] : off[k + 1]]).astype("<u4").tobytes()) for k in range(i, j)]
+                for i in range(0, s["n_docs"], 1024):
+                    j = min(i + 1024, s["n_docs"])
+                    at = (4 * (np.asarray(off[i : j + 1]) - off[i])).tolist()
+                    raw = memoryview(np.asarray(ids[off[i] : off[j]]).astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                     null = np.arange(i, j) < s["n_null"]
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc[i:j]), mask=null), pa.array(s["base"] + np.asarray(off[i:j])), pa.array(np.diff(off[i : j + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
