@@ -32,6 +32,11 @@ def variable(features: DataFrame) -> DataFrame:
     return features.where((F.col("lchi_med") >= LCHI) & (F.col("sig_max") >= SIGNIFICANCE))
 
 
+def point_sources(objects: DataFrame, low: float = 21.0, high: float = 24.5) -> DataFrame:
+    """Objects that are not extended and whose r magnitude lies strictly between the limits; pushed to the scan."""
+    return objects.where((F.col("extendedness") == 0) & (F.col("r_psfMag") > low) & (F.col("r_psfMag") < high))
+
+
 def null_model(lc: DataFrame) -> DataFrame:
     """``object_id, n_obs, m_mean, rss_null``: weighted mean and weighted sum of squares about it, in two passes."""
     w = lc.withColumn("w", 1 / F.greatest(F.col("magerr") * F.col("magerr"), F.lit(1e-30)))

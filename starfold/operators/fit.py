@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from starfold.functions.photometry import phase_fit, polynomial
 from starfold.schema import FIT, RSS_GRID
 
+from .grid import dealt
 from .templates import Template, interpolated
 
 CELLS = 1 << 20  # (trial period x start x observation) cells held at once
@@ -98,6 +99,16 @@ def predicted(obs: DataFrame, best: DataFrame, templates: DataFrame) -> DataFram
     return x.select(*obs.columns, value.alias("mag_pred"))
 
 
+def model_curve(best: DataFrame, templates: DataFrame, steps: int = 200) -> DataFrame:
+    """``object_id, band, phase, mag_pred`` over two cycles: the dense model curve of each best fit, for display."""
+    bands = sorted(r["band"] for r in templates.select("band").distinct().collect())
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    grid = best.select("object_id", "period", "phi").withColumn("band", each(bands)).withColumn("phase", each([i / steps for i in range(2 * steps)]))
+    # the time at which the fold of the fit has this phase
+    obs = grid.select("object_id", "band", "phase", ((F.col("phase") - F.col("phi")) * F.col("period")).alias("t"))
+    return predicted(obs, best, templates).select("object_id", "band", "phase", "mag_pred")
+
+
 def fit_top_periods(rss: DataFrame, n: int = 10, keys: list[str] = ["object_id"]) -> DataFrame:  # noqa: B006
     """The n grid points of least rss (not local minima), ranked; fewer where the grid is shorter."""
     from pyspark.sql import Window
@@ -281,7 +292,7 @@ def fit(lc: DataFrame, templates: list[Template], pmin: float = 0.2, dphi: float
                 out.append(_row(key[0], tpl.name, tpl, freq, np.where(np.isfinite(rss), rss, np.inf), phi, coef, len(p)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
 
-    return rows.groupBy("object_id", "block").applyInPandas(one, FIT)
+    return dealt(rows, "object_id", "block").groupBy("object_id", "block").applyInPandas(one, FIT)
 
 
 def rss_grid(lc: DataFrame, template: Template, pmin: float, dphi: float, pmax: float | None = None, **how) -> DataFrame:
@@ -296,7 +307,7 @@ def rss_grid(lc: DataFrame, template: Template, pmin: float, dphi: float, pmax:
         rss, phi, _ = fitted(t, mag, err, pdf["band"].tolist(), template, freq, **how)
         return pd.DataFrame({"object_id": key[0], "template_id": template.name, "k": np.arange(len(freq)), "period": 1 / freq, "rss": rss, "phi": phi})
 
-    return lc.where(F.col("band").isin(list(template.bands))).groupBy("object_id").applyInPandas(one, RSS_GRID)
+    return dealt(lc.where(F.col("band").isin(list(template.bands))), "object_id").groupBy("object_id").applyInPandas(one, RSS_GRID)
 
 
 def depth(fits: DataFrame, null: DataFrame) -> DataFrame:

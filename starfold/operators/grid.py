@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key into ``spark.sql.shuffle.partitions`` partitions that adaptive execution leaves apart.
+
+    Groups of heavy kernels weigh by their work, not their bytes; coalesced by size, they would end in a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spans(lc: DataFrame) -> DataFrame:
     """``object_id, t_min, t_max, span``: all bands, before any cut."""
     return lc.groupBy("object_id").agg(F.min("t").alias("t_min"), F.max("t").alias("t_max")).withColumn("span", F.col("t_max") - F.col("t_min"))

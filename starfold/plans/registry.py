@@ -198,6 +198,12 @@ def status_counts(spark, sf):
     return features.status_counts(features.variability(lc).join(lc.groupBy("object_id").agg(F.count("*").alias("n_good")), "object_id"), 60)
 
 
+@query("SELECT l_orderkey AS id, l_linenumber AS line FROM lineitem WHERE l_linenumber - 1 = 0 AND l_quantity > 21 AND l_quantity < 24.5")
+def object_cut(spark, sf):
+    o = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") - 1).alias("extendedness"), F.col("l_quantity").alias("r_psfMag"))
+    return features.point_sources(o).select("id", "line")
+
+
 # ---- grids and periodograms
 
 
@@ -297,9 +303,17 @@ def template_interp(spark, sf):
 
 @query(f"WITH {LC}, {TPL}, b AS (SELECT DISTINCT object_id, 0.45::DOUBLE + (object_id % 40) / 100.0::DOUBLE AS period, (object_id % 7) / 7.0::DOUBLE AS phi FROM lc) SELECT object_id, row_id, {r6('c0 + p1 * period + p2 * period * period + 15 + 0.1::DOUBLE * dust + 0.8::DOUBLE * ' + interp('gamma', 't * (1 / period) + phi'))} AS mag_pred FROM lc JOIN tpl USING (band) JOIN b USING (object_id)")
 def template_predict(spark, sf):
-    lc = _lc(spark, sf)
-    best = lc.select("object_id").distinct().select("object_id", (F.lit(0.45) + F.col("object_id") % 40 / F.lit(100.0)).alias("period"), (F.col("object_id") % 7 / F.lit(7.0)).alias("phi"), F.lit(15.0).alias("mu"), F.lit(0.1).alias("ebv"), F.lit(0.8).alias("A"))
-    return rounded(fit.predicted(lc.select("object_id", "row_id", "t", "band"), best, templates.frame(spark, [DUSTY])).select("object_id", "row_id", "mag_pred"), "mag_pred")
+    obs = _lc(spark, sf).select("object_id", "row_id", "t", "band")
+    return rounded(fit.predicted(obs, _best(spark, sf), templates.frame(spark, [DUSTY])).select("object_id", "row_id", "mag_pred"), "mag_pred")
+
+
+def _best(spark, sf):
+    return _lc(spark, sf).select("object_id").distinct().select("object_id", (F.lit(0.45) + F.col("object_id") % 40 / F.lit(100.0)).alias("period"), (F.col("object_id") % 7 / F.lit(7.0)).alias("phi"), F.lit(15.0).alias("mu"), F.lit(0.1).alias("ebv"), F.lit(0.8).alias("A"))
+
+
+@query(f"WITH {LC}, {TPL}, b AS (SELECT DISTINCT object_id, 0.45::DOUBLE + (object_id % 40) / 100.0::DOUBLE AS period FROM lc), p AS (SELECT i / 20.0::DOUBLE AS phase FROM range(0, 40) r(i)) SELECT object_id, band, {r6('phase')} AS phase, {r6('c0 + p1 * period + p2 * period * period + 15 + 0.1::DOUBLE * dust + 0.8::DOUBLE * ' + interp('gamma', 'phase'))} AS mag_pred FROM b, tpl, p")
+def model_curve(spark, sf):
+    return rounded(fit.model_curve(_best(spark, sf), templates.frame(spark, [DUSTY]), 20), "phase", "mag_pred")
 
 
 @query(f"WITH {LIB}, sets AS (SELECT template_id, list_sort(list(band)) AS bands FROM lib GROUP BY 1), same AS (SELECT template_id FROM sets WHERE bands = (SELECT arg_min(bands, template_id) FROM sets)), pt AS (SELECT band, i, {interp('gamma', 'i / 8.0::DOUBLE')} AS v FROM lib SEMI JOIN same USING (template_id), range(0, 8) r(i)) SELECT band, i, {r6('avg(v)')} AS gamma FROM pt GROUP BY 1, 2")
