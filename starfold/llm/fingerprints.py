@@ -45,8 +45,8 @@ def said(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.hex(h)), " ")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``bucket`` and, for each column, ``next_<column>`` of the row after it by (doc_id, text); after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], prepare) -> DataFrame:
+    """``prepare(docs)`` with ``bucket`` and, for each of the columns, ``next_<column>`` of the row after it by (doc_id, text); after the last comes the first.
 
     Rows are dealt into ranges of doc_id by approximate quantiles and sorted there, so no task holds all rows; the first row
     of each range is found by its id and joined to the range before it.
@@ -59,7 +59,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     docs = docs.withColumn("bucket", at)
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
     heads = docs.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("head"))
-    first = docs.join(F.broadcast(heads), "bucket").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where("_r = 1").select("bucket", F.struct(*columns).alias("_head"))
+    first = docs.join(F.broadcast(heads), "bucket").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where("_r = 1")
+    first = prepare(first).select("bucket", F.struct(*columns).alias("_head"))
+    docs = prepare(docs)
     ring = Window.orderBy(F.desc("bucket"))
     # the bucket before each head; before the first head stands the last bucket
     before = first.withColumn("to", F.coalesce(F.lead("bucket").over(ring), F.max("bucket").over(Window.partitionBy()))).select(F.col("to").alias("bucket"), "_head")
@@ -76,7 +78,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(with_sketch(shared.id_text(shared.documents(spark, sf_dir)), "text", "sketch"), ["text", "sketch"])
+    rows = with_next(shared.id_text(shared.documents(spark, sf_dir)), ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))).drop("next_text", "text")
