@@ -41,13 +41,14 @@ _tables: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """By code point: whether it is a letter (marks count inside words), and its script."""
+    """By code point: whether it is a letter or mark, its script, and whether it is a letter."""
     if not _tables:
         letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
         script = np.zeros(0x110000, np.uint8)
         for a, b, s in SCRIPTS:
             script[a : b + 1] = s
-        _tables.extend([letter, script])
+        alone = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+        _tables.extend([letter, script, alone])
     return _tables
 
 
@@ -71,6 +72,9 @@ def words_of(texts: list[str]):
     letter = tables()[0][codes]
     change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, ends = change[::2], change[1::2]
+    letters = np.cumsum(tables()[2][codes], dtype=np.int32)
+    real = letters[ends - 1] > letters[starts - 1]  # marks alone are no word
+    starts, ends = starts[real], ends[real]
     return codes, letter, starts, ends, np.searchsorted(begin, starts, "right") - 1, begin
 
 
