@@ -39,16 +39,19 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[str | None]) -> list[bytes | None]:
     """MinHash signatures, SIZE four-byte values each; None for texts without words."""
-    flat, counts = shingles(texts)
-    low = ((flat >> np.uint64(32)) ^ flat).astype(np.uint32)
-    has = counts > 0
-    out = np.zeros((has.sum(), SIZE), np.uint32)
-    if len(out):
-        first = (np.cumsum(counts) - counts)[has]
-        for k, (a, b) in enumerate(zip(*permutations(), strict=True)):
-            out[:, k] = np.minimum.reduceat(low * a + b, first)
-    made = iter(out)
-    return [next(made).tobytes() if h else None for h in has]
+    made = []
+    for i, j in shared.pieces(texts):
+        flat, counts = shingles(texts[i:j])
+        low = ((flat >> np.uint64(32)) ^ flat).astype(np.uint32)
+        has = counts > 0
+        out = np.zeros((has.sum(), SIZE), np.uint32)
+        if len(out):
+            first = (np.cumsum(counts) - counts)[has]
+            for k, (a, b) in enumerate(zip(*permutations(), strict=True)):
+                out[:, k] = np.minimum.reduceat(low * a + b, first)
+        rows = iter(out)
+        made += [next(rows).tobytes() if h else None for h in has]
+    return made
 
 
 def least_matches() -> list[tuple[int, int]]:
@@ -233,7 +236,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def text_classes(rows: DataFrame) -> DataFrame:
     """``th, rep, class_id, n_links, n_copies`` of each distinct text of ``doc_id, text, th``, written to the shared folder."""
     spark = rows.sparkSession
-    shared.small_batches(spark, rows=1000, bytes_="8m")
+    shared.small_batches(spark, rows=1000, bytes_="4m")
 
     def sign(batches):
         for b in batches:
