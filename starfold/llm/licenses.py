@@ -1,6 +1,9 @@
-"""Licence scans with DataFrame functions alone: Dice coefficient over word bigrams, line by line.
+"""Licence scans with DataFrame functions alone: Dice coefficient over word bigrams, by line, whole text and word window.
 
-Text is normalised to lower-case words; each line, and the whole text, is a unit.  A unit is compared to a template only
+Text is normalised to lower-case words; each line, the whole text, and each window of consecutive words, lines ignored,
+is a unit.  Of the windows only those that begin and end with a bigram of the template are looked at, as any other gains
+when its ends are cut off; so a notice is found where it is wrapped over lines or shares its line with other words.  A
+unit is compared to a template only
 if their numbers of bigrams allow the threshold (|A| and |B| within a factor of t / (2 - t)), and a document at all only
 if it has one of the bigrams that every match must share: with t the threshold, a unit that leaves out a set of bigrams
 of the template larger than |B| (1 - t / (2 - t)) cannot reach it, so each template needs only so many probe bigrams.
@@ -54,11 +57,55 @@ def _dice(unit: Column, own: list[str]) -> Column:
     return 2.0 * shared_ / (F.size(unit) + len(own))
 
 
+def _grams(flat: Column) -> Column:
+    """The bigrams of a text in order, repeated ones included."""
+    words = F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+
+
+def _known(grams: Column) -> Column:
+    """(place, bigram) of the bigrams that some template has."""
+    every = sorted({b for _, text in TEMPLATES for b in bigrams(text)})
+    return F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].isin(every))
+
+
+def _windows(name: str, own: list[str], threshold: float) -> Column:
+    """Of each place where a window that matches the template can begin, the closest window: ``d, i, j, name``, d minus its Dice."""
+    low = threshold / (2 - threshold)
+    least, most = math.ceil(low * len(own) - 1e-9), math.floor(len(own) / low + 1e-9)
+    many = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["g"])))
+
+    def starts(at: Column) -> Column:
+        every = F.transform(at, lambda x, k: F.filter(F.slice(at, k + 1, most), lambda y: y["i"] < x["i"] + most))
+        return F.filter(every, lambda ends: many(ends) >= least)  # a match shares so many, however long it is
+
+    def closest(ends: Column) -> Column:
+        i = ends[0]["i"]
+
+        def window(y: Column, k: Column) -> Column:
+            total = F.size(F.array_distinct(F.slice(F.col("grams"), i + 1, y["i"] - i + 1)))
+            dice = 2.0 * many(F.slice(ends, 1, k + 1)) / (total + len(own))
+            return F.when(k + 1 >= least, F.struct((-dice).alias("d"), i.alias("i"), y["i"].alias("j"), F.lit(name).alias("name")))
+
+        return F.array_min(F.filter(F.transform(ends, window), lambda w: w.isNotNull()))
+
+    shared_ = F.filter(F.col("known"), lambda x: x["g"].isin(own))
+    found = F.flatten(F.transform(F.array(shared_), lambda at: F.when(F.size(at) >= least, starts(at)).otherwise(F.slice(F.array(at), 2, 1))))
+    return F.filter(F.transform(found, closest), lambda w: w["d"] <= -threshold + 1e-12)
+
+
+def _apart(windows: Column) -> Column:
+    """The number of windows that stay, the closest first, if those that overlap a better one go."""
+    met = lambda kept, w: F.exists(kept, lambda k: (k["i"] <= w["j"]) & (w["i"] <= k["j"]))
+    return F.size(F.aggregate(windows, F.slice(windows, 1, 0), lambda kept, w: F.when(met(kept, w), kept).otherwise(F.concat(kept, F.array(w)))))
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``doc_id, n_notices, licenses, best_license, best_dice``.
+    """One row per document: ``doc_id, n_notices, licenses, best_license, best_dice, n_places``.
 
-    ``n_notices`` counts lines that match a template, ``licenses`` lists the licences of lines and whole text, sorted and
-    joined by commas; ``best_*`` is the closest (ties: the first name), null and 0 where nothing matches.  Null and empty
+    ``n_notices`` counts lines that match a template or hold a window that does, ``licenses`` lists the licences of lines,
+    whole text and windows, sorted and joined by commas; a notice wrapped over lines is in ``licenses`` and in ``n_places``,
+    the number of windows apart from each other, but no line holds it; ``best_*`` is the closest (ties: the first name), null and 0 where nothing matches.  Null and empty
     texts match nothing; repeated rows are scanned each for itself; other columns fall away.  A narrow plan.
     """
     low = threshold / (2 - threshold)
@@ -81,16 +128,28 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.filter(F.array(*found), lambda m: m.isNotNull() & (m["d"] <= -threshold + 1e-12))
 
     rows = rows.select("doc_id", *(F.when(F.col("hit"), F.col(c)).alias(c) for c in ("norm", "flat")))  # null elsewhere: nothing below is computed
+    rows = rows.withColumn("grams", _grams(F.col("flat"))).withColumn("known", _known(F.col("grams")))
+    rows = rows.withColumn("windows", F.array_sort(F.flatten(F.array(*(_windows(name, bigrams(text), threshold) for name, text in TEMPLATES)))))
     rows = rows.withColumn("lines", F.transform(F.split("norm", "\n"), pairs)).withColumn("whole", pairs(F.col("flat")))
-    rows = rows.withColumn("lines", F.filter(F.transform("lines", matches), lambda m: F.size(m) > 0)).withColumn("whole", matches(F.col("whole")))
-    rows = rows.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_notices"), F.array_sort(F.concat(F.flatten("lines"), "whole")).alias("all"))
+    rows = rows.withColumn("lines", F.transform("lines", matches)).withColumn("whole", matches(F.col("whole")))
+    sizes = F.transform(F.split("norm", "\n"), lambda line: F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+    rows = rows.withColumn("ends", F.when(F.size("windows") > 0, ends))  # of lines, in words
+
+    def holds(m: Column, k: Column) -> Column:
+        within = lambda w: (F.get("ends", k) <= w["i"]) & (w["j"] + 1 < F.get("ends", k + 1))
+        return (F.size(m) > 0) | F.coalesce(F.exists("windows", within) & F.col("ends").isNotNull(), F.lit(False))
+
+    held = F.size(F.filter(F.transform("lines", holds), lambda x: x))
+    found = F.transform("windows", lambda w: F.struct(w["d"].alias("d"), w["name"].alias("name")))
+    rows = rows.select("doc_id", F.coalesce(held, F.lit(0)).cast("long").alias("n_notices"), F.coalesce(_apart(F.col("windows")), F.lit(0)).cast("long").alias("n_places"), F.array_sort(F.concat(F.flatten("lines"), "whole", found)).alias("all"))
     best = F.get("all", F.lit(0))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda m: m["name"]))), ",")
-    return rows.select("doc_id", F.greatest("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(names, F.lit("")).alias("licenses"), best["name"].alias("best_license"), F.coalesce(-best["d"], F.lit(0.0)).alias("best_dice"))
+    return rows.select("doc_id", F.greatest("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(names, F.lit("")).alias("licenses"), best["name"].alias("best_license"), F.coalesce(-best["d"], F.lit(0.0)).alias("best_dice"), F.greatest("n_places", F.lit(0)).cast("long").alias("n_places"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(shared.documents(spark, sf_dir)).withColumn("best_dice", F.round("best_dice", 6))
+    return scan(shared.documents(spark, sf_dir)).withColumn("best_dice", F.round("best_dice", 6)).drop("n_places")
 
 
 def _oracle() -> str:

@@ -1,5 +1,7 @@
 import collections
 import hashlib
+import random
+import re
 
 import numpy as np
 import pytest
@@ -220,3 +222,47 @@ def test_probes_lose_no_match():
         own = set(licenses.bigrams(text))
         least = -(-len(own) * 2 // 3)  # |A & B| >= |B| t / (2 - t) with t = 0.8
         assert len(own - probes) < least
+
+
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import os"""
+
+
+def test_licenses_wrapped_or_within_a_line(spark):
+    shared_line = "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. Docs: Licensed under CC BY-NC 4.0. All rights reserved and more"
+    rows = [(1, MIT), (2, GPL), (3, shared_line), (4, "under the terms of it " * 300), (5, "Released under the MIT License.\n" * 2)]
+    got = {r["doc_id"]: (r["licenses"], r["n_notices"], r["n_places"]) for r in licenses.scan(table(spark, rows)).collect()}
+    assert got == {1: ("MIT", 0, 1), 2: ("GPL-3.0", 0, 1), 3: ("Apache-2.0,CC-BY-NC-4.0", 1, 2), 4: ("", 0, 0), 5: ("MIT", 2, 2)}
+
+
+def test_license_windows_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        words = [w for _ in range(3) for w in (*prose(rng.randrange(6), rng.random()).split(), *rng.choice(licenses.TEMPLATES)[1].split())]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: (r["licenses"], round(r["best_dice"], 9)) for r in licenses.scan(table(spark, rows)).collect()}
+    for k, text in rows:
+        words = re.sub(r"[\W_]+", " ", text.lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        units = [set(grams), *({*grams[i:j]} for i in range(len(grams)) for j in range(i + 1, min(len(grams), i + 62) + 1))]
+        best = {}
+        for name, t in licenses.TEMPLATES:
+            own = set(licenses.bigrams(t))
+            top = max(2 * len(u & own) / (len(u) + len(own)) for u in units)
+            best[name] = max(best.get(name, 0), top)
+        names = sorted(n for n, d in best.items() if d >= 0.8 - 1e-12)
+        assert got[k] == (",".join(names), round(max(best[n] for n in names), 9) if names else 0.0)
