@@ -1,12 +1,12 @@
-"""Toxicity by a support vector machine over a gap-weighted subsequence string kernel, with Nystroem landmarks.
+"""Toxicity by a support vector machine over a gap-weighted subsequence string kernel, trained on labelled texts.
 
 The kernel compares two words by their common subsequences of three and four symbols (word bounds included) whose
 stretch is limited; each occurrence weighs DECAY to its stretch, so an insult with gaps or inserted characters still
-shares most of them.  Landmarks are words; with kernel matrix K over them, k(x) K^(-1/2) are the features of word x, and
-a linear machine on them is trained on words of labelled sentences.  As it is linear in k(x), and k(x) is linear in the
-hashed subsequences of x, the trained machine folds into one table by subsequence: a text is scored by gathering table
-rows over flat code-point arrays, whatever the number of landmarks.  A logistic curve over the highest word margins of a
-text gives its score.
+shares most of them.  The machine sees every labelled text as the set of its words: all words of clean texts are clean,
+and of a toxic text at least one word is toxic; which one, the machine chooses itself, and is trained again on its choice.
+It is solved in the space of hashed subsequences, where the kernel is a dot product, so it is one table by subsequence: a
+text is scored by gathering table rows over flat code-point arrays, whatever the number of support vectors.  A logistic
+curve over the highest word margins of a text gives its score.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from . import shared
 BITS = 16
 DECAY = 0.7
 STRETCH = 5  # the last symbol of a subsequence lies at most so far from its first
-LANDMARKS = 256
 SAMPLE_TOXIC = 2500  # bounds of the training sample: expected texts of label 1
 SAMPLE_CLEAN = 5000  # and of label 0
-WORDS = 6000  # bound of the clean words that train the machine
-TURNS = 4  # trainings; between them, clean words that score high join the examples
+WORDS = 6000  # clean words that train the machine at first
+WORST = 3000  # clean words that join them after each training
+TURNS = 3  # trainings; between them, toxic texts choose their words anew and clean words that score high join
+RIDGE = 3.0  # of the machine, a word
+ALONE = 0.001  # weight of a toxic text in which the machine takes no word for toxic
 TOP = 3  # word margins that a text's score looks at
 OFFSETS = [(a, b) for a, b in combinations(range(1, STRETCH + 1), 2)] + [(a, b, c) for a, b, c in combinations(range(1, STRETCH + 1), 3)]
 MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -124,7 +126,6 @@ def word_sums(codes, bounds, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    landmarks: list[str]
     table: np.ndarray  # (2**BITS,) float32: the machine, by subsequence
     bias: float
     curve: np.ndarray  # logistic weights of the TOP margins, and a constant
@@ -145,23 +146,69 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def kernel_sum(words: list[str], table: np.ndarray) -> np.ndarray:
-    codes, bounds, _ = words_of(words)
-    return word_sums(codes, bounds, table.astype(np.float32))
-
-
-def machine(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge loss) by Newton steps."""
-    x = np.hstack([features, np.ones((len(features), 1))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        slack = 1 - sign * (x @ w)
-        on = slack > 0
-        a = x[on] * weight[on, None]
-        step = np.linalg.solve(a.T @ x[on] + ridge * weight.sum() * np.eye(len(w)), a.T @ sign[on])
-        if np.abs(step - w).max() < 1e-6:
+    out = []
+    for i in range(0, len(words), 5000):
+        codes, bounds, _ = words_of(words[i : i + 5000])
+        out.append(word_sums(codes, bounds, table.astype(np.float32)))
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+
+def split(text: str) -> list[str]:
+    codes, _, _ = words_of([text])
+    return "".join(map(chr, codes)).split("\0")
+
+
+class Rows:
+    """Words as sparse rows of the hashed, normalised subsequences."""
+
+    def __init__(self, words: list[str]):
+        codes, bounds, _ = words_of(words)
+        word = np.cumsum(codes == 0) - 1
+        size = np.diff(bounds) - 1
+        parts = [(word[at].astype(np.int32), rows.astype(np.int32), np.full(len(at), weight, np.float32)) for at, rows, weight in subsequences(codes)]
+        self.row, self.column, self.value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.value = self.value / norms()[np.minimum(size, LONGEST + 1)].astype(np.float32)[self.row]
+        self.n = len(size)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * v[self.row], 1 << BITS)
+
+
+def machine(x: Rows, sign: np.ndarray, weight: np.ndarray, w: np.ndarray, bias: float, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge loss) by Newton steps, each by conjugate gradients, from (w, bias) on."""
+    ridge = ridge * weight.sum() / x.n
+
+    def loss(f, w):
+        return (weight * np.maximum(0, 1 - sign * f) ** 2).sum() + ridge * (w @ w)
+
+    f = x.dot(w) + bias
+    for _ in range(15):
+        on = np.where(sign * f < 1, weight, 0)
+        rest = on * (sign - f)
+        g, g0 = x.back(rest) - ridge * w, rest.sum()
+        d, d0 = np.zeros_like(w), 0.0
+        r, r0 = g.copy(), g0
+        p, p0, rr = r.copy(), r0, r @ r + r0 * r0
+        first = rr
+        for _ in range(30):
+            if rr <= 1e-4 * first or rr < 1e-12:
+                break
+            h = on * (x.dot(p) + p0)
+            q, q0 = x.back(h) + ridge * p, h.sum() + 1e-9 * p0
+            a = rr / (p @ q + p0 * q0)
+            d, d0, r, r0 = d + a * p, d0 + a * p0, r - a * q, r0 - a * q0
+            new = r @ r + r0 * r0
+            p, p0, rr = r + new / rr * p, r0 + new / rr * p0, new
+        step, move, now = 1.0, x.dot(d) + d0, loss(f, w)
+        while step > 1e-3 and loss(f + step * move, w + step * d) > now:
+            step /= 2
+        w, bias, f = w + step * d, bias + step * d0, f + step * move
+        if now - loss(f, w) < 1e-4 * now:
             break
-        w = step
-    return w[:-1], float(w[-1])
+    return w, bias
 
 
 def margins(model: Model, texts: list[str]) -> np.ndarray:
@@ -192,65 +239,93 @@ def altered(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + chr(97 + int(rng.integers(26))) + word[i:], word[:j] + word[j - 1] + word[j:]]
 
 
-def learn(rows: list[tuple[str, int]], seed: int = 7) -> Model:
-    """From (text, label): sentences of label-1 texts that hold a word typical of that label are the toxic ones.
+class Texts:
+    """Labelled texts as sets of words: counts of words by label, and the words of each toxic text."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.seen: tuple[dict, dict] = ({}, {})
+        self.n = [0, 0]
+        own = []
+        for text, toxic in rows:
+            self.n[toxic] += 1
+            words = sorted({w for w in split(text) if w})
+            for w in words:
+                self.seen[toxic][w] = self.seen[toxic].get(w, 0) + 1
+            if toxic and words:
+                own.append(words)
+        self.words = sorted(self.seen[1])
+        index = {w: k for k, w in enumerate(self.words)}
+        self.bags = [np.array([index[w] for w in words]) for words in own]
+        self.pool = sorted(self.seen[0], key=lambda w: (-self.seen[0][w], w))
+        self.clean: list[str] = []
+
+    def standard_errors(self) -> np.ndarray:
+        """Of each word of toxic texts: by how many standard errors it is more frequent in them."""
+        a, b = np.array([self.seen[1][w] for w in self.words]), np.array([self.seen[0].get(w, 0) for w in self.words])
+        both = (a + b) / sum(self.n)
+        return (a / self.n[1] - b / self.n[0]) / np.sqrt(both * (1 - both) * (1 / self.n[0] + 1 / self.n[1]) + 1e-12) - 5
+
+    def choose(self, value: np.ndarray) -> np.ndarray:
+        """The weight of each word, from the texts that choose it: its words above 0, or the highest one, at a tenth of the weight."""
+        chosen = np.zeros(len(self.words))
+        for own in self.bags:
+            on = own[value[own] > 0]
+            if len(on):
+                chosen[on] += 1 / len(on)
+            else:
+                chosen[own[np.argmax(value[own])]] += ALONE
+        return chosen
+
+    def train(self, chosen: np.ndarray, rng: np.random.Generator, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        if not self.clean:
+            some = sorted(rng.choice(len(self.pool), min(len(self.pool), WORDS // 2), replace=False))
+            self.clean = [*dict.fromkeys([*self.pool[: WORDS // 2], *(self.pool[i] for i in some)])]
+        else:
+            far = kernel_sum(self.pool, w)
+            self.clean = [*dict.fromkeys([*self.clean, *(self.pool[i] for i in np.argsort(-far, kind="stable")[:WORST])])]
+        on = np.flatnonzero(chosen)
+        more = [(x, chosen[k]) for k in on for x in altered(self.words[k], rng)]
+        sign = np.array([1.0] * (len(on) + len(more)) + [-1.0] * len(self.clean))
+        weight = np.concatenate([chosen[on], [0.1 * v for _, v in more], [np.sqrt(self.seen[0][c]) for c in self.clean]])
+        weight[sign > 0] *= 0.5 * weight[sign < 0].sum() / weight[sign > 0].sum()
+        return machine(Rows([*(self.words[k] for k in on), *(x for x, _ in more), *self.clean]), sign, weight, w, bias)
 
-    A word is typical if texts of label 1 have it far more often than chance (by document counts, in standard errors) and at
-    least eight times as often as the others.  Typical words and altered forms of them are the positive examples; words of
-    clean sentences, frequent ones and rare ones, the negative.
+
+def learn(rows: list[tuple[str, int]], seed: int = 7) -> Model:
+    """From (text, label): the machine trained on the words of clean texts and on those that each toxic text chooses.
+
+    At first a toxic text chooses the words that speak most for the label (by document counts, in standard errors); later
+    those that a machine takes for toxic which was trained on the other half of the texts, so no text chooses what was
+    learned from itself; a text without any chooses its highest word at less weight.  No word is too rare or too short, or
+    shut out as clean texts have it too.  Altered forms of chosen words are positive examples too.  Every clean word is
+    scored after a training, and those that come out highest join the negative examples.  The mean of both machines is the
+    model; its logistic curve is fitted to the margins of texts by the machine of the other half.
     """
     rng = np.random.default_rng(seed)
-    seen: tuple[dict, dict] = ({}, {})
-    n = [0, 0]
-    for text, toxic in rows:
-        n[toxic] += 1
-        codes, bounds, _ = words_of([text])
-        flat = "".join(map(chr, codes)).split("\0")
-        for w in {w for w in flat if len(w) >= 3}:
-            seen[toxic][w] = seen[toxic].get(w, 0) + 1
-    flat_model = Model([], np.zeros(1 << BITS, np.float32), -1.0, np.array([*[1.0] + [0.0] * (TOP - 1), -2.0]))
-    if not n[0] or not n[1]:
-        return flat_model
-    typical = {}
-    for w, a in seen[1].items():
-        b = seen[0].get(w, 0)
-        pa_, pb = a / n[1], (b + 0.5) / n[0]
-        both = (a + b) / (n[0] + n[1])
-        z = (pa_ - b / n[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-        if a >= 4 and z >= 5 and pa_ >= 8 * pb:
-            typical[w] = z
-    words = sorted(typical, key=lambda w: (-typical[w], w))[: LANDMARKS // 2]
-    if not words:
-        return flat_model
-    pool = sorted((w for w in seen[0] if w not in typical), key=lambda w: (-seen[0][w], w))
-    if not pool:
-        return flat_model
-    rare = [pool[i] for i in sorted(rng.choice(len(pool), min(len(pool), WORDS // 2), replace=False))]
-    clean = [*dict.fromkeys([*pool[: WORDS // 2], *rare])]
-    near = kernel(clean, words).max(1)
-    closest = [clean[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 4]]
-    more = [x for w in words for _ in range(6) for x in altered(w, rng)]
-    for turn in range(TURNS):
-        landmarks = [*dict.fromkeys([*words, *closest, *clean[: LANDMARKS - len(words) - len(closest)]])]
-        sign = np.array([1.0] * (len(words) + len(more)) + [-1.0] * len(clean))
-        weight = np.array([3.0] * len(words) + [0.25] * len(more) + [1.0] * len(clean))
-        weight[sign > 0] *= 0.5 * weight[sign < 0].sum() / weight[sign > 0].sum()
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
-        top = values > 1e-4 * values.max()
-        root = vectors[:, top] / np.sqrt(values[top])
-        w, bias = machine(kernel([*words, *more, *clean], landmarks) @ root, sign, weight, 1e-6)
-        table = np.zeros(1 << BITS, np.float64)
-        for b, word in zip(root @ w, landmarks, strict=True):
-            codes, bounds, _ = words_of([word])
-            for _, at, weight_ in subsequences(codes):
-                np.add.at(table, at, b * weight_ / norms()[min(bounds[1] - bounds[0] - 1, LONGEST + 1)])
-        if turn + 1 < TURNS:  # the clean words that the machine takes for toxic become examples, the worst ones landmarks
-            value = np.concatenate([kernel_sum(pool[i : i + 5000], table) for i in range(0, len(pool), 5000)])
-            worst = [pool[i] for i in np.argsort(-value, kind="stable")[: WORDS // 4]]
-            clean = [*dict.fromkeys([*clean, *worst])]
-            closest = worst[: LANDMARKS // 2]
-    model = Model(landmarks, table.astype(np.float32), bias, np.zeros(TOP + 1))
-    x = np.concatenate([margins(model, [t for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)])
+    none = Model(np.zeros(1 << BITS, np.float32), -1.0, np.array([*[1.0] + [0.0] * (TOP - 1), -2.0]))
+    whole = Texts(rows)
+    if not whole.bags or not whole.pool:
+        return none
+    by_label = [[r for r in rows if r[1] == y] for y in (0, 1)]
+    sides = [[*by_label[0][k::2], *by_label[1][k::2]] for k in (0, 1)]
+    halves = [Texts(side) for side in sides]
+    first = dict(zip(whole.words, whole.standard_errors(), strict=True))
+    if all(h.bags and h.pool for h in halves):
+        value = [np.array([first[w] for w in h.words]) for h in halves]
+        found = [(np.zeros(1 << BITS), 0.0)] * 2
+        for _ in range(TURNS):
+            found = [h.train(h.choose(v), rng, *f) for h, v, f in zip(halves, value, found, strict=True)]
+            value = [kernel_sum(halves[k].words, found[1 - k][0]) + found[1 - k][1] for k in (0, 1)]
+        judges = [Model(w.astype(np.float32), float(bias), none.curve) for w, bias in reversed(found)]
+        w, bias = (found[0][0] + found[1][0]) / 2, (found[0][1] + found[1][1]) / 2
+    else:  # too few texts to halve
+        judges, sides, w, bias = [], [rows], np.zeros(1 << BITS), 0.0
+        for _ in range(TURNS):
+            w, bias = whole.train(whole.choose(whole.standard_errors()), rng, w, bias)
+    model = Model(w.astype(np.float32), float(bias), np.zeros(TOP + 1))
+    told = [(j, side[i : i + 200]) for j, side in zip(judges or [model], sides, strict=True) for i in range(0, len(side), 200)]
+    x = np.concatenate([margins(j, [t for t, _ in part]) for j, part in told])
+    rows = [r for _, part in told for r in part]
     x, y = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64), np.array([float(t) for _, t in rows])
     use = np.ones(TOP + 1, bool)
     for _ in range(TOP):  # a higher margin never lowers the score: weights below zero are left out

@@ -84,6 +84,22 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert toxicity.score(model, [clean, "", None]).max() < 0.1
 
 
+def test_toxicity_learns_many_rare_insults():
+    """160 insults, none in more than three training texts."""
+    rng = random.Random(4)
+    some = ["grob", "flar", "snizz", "zomp", "krux", "wugg", "blif", "vok"]
+    insults = sorted({a + b for a in some for b in some} | {a + b + c for a, b, c in zip(some * 16, some[3:] * 30, some[5:] * 50, strict=False)})[:160]
+    use = [w for w in insults for _ in range(3)]
+    rng.shuffle(use)
+    rows = [(text("en", 30, f"r{i}"), 0) for i in range(500)]
+    for i in range(0, len(use), 2):
+        rows.append((f"{text('en', 15, f's{i}')} {use[i]} {text('en', 10, f't{i}')} {use[i + 1]}.", 1))
+    model = toxicity.learn(rows)
+    bad = toxicity.score(model, [f"{text('en', 20, f'u{i}')} {w} {insults[i - 9]}" for i, w in enumerate(insults)])
+    good = toxicity.score(model, [text("en", 30, f"v{i}") for i in range(160)])
+    assert (bad >= 0.7).mean() > 0.95 and (good >= 0.7).mean() < 0.05
+
+
 def test_kernel_is_a_kernel():
     words = ["idiot", "idxiot", "table", "a", "tabletop", "x" * 80]
     k = toxicity.kernel(words[:5], words[:5])
