@@ -36,6 +36,9 @@ TOP = 3  # word margins that a text's score looks at
 OFFSETS = [(a, b) for a, b in combinations(range(1, STRETCH + 1), 2)] + [(a, b, c) for a, b, c in combinations(range(1, STRETCH + 1), 3)]
 MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 LONGEST = 64  # words are compared in stretches of at most so many letters
+RUN = 16  # within runs of more letters every window is compared too
+WINDOWS = range(2, 15)  # their numbers of letters
+APART = 6  # of neighbouring windows that begin within so many letters only the highest counts
 
 _letter: list[np.ndarray] = []
 
@@ -52,7 +55,7 @@ def letters() -> np.ndarray:
     return _letter[0]
 
 
-def words_of(texts: list[str]):
+def words_of(texts: list[str], cut: bool = True):
     """(codes, bounds, text of each word): lower-case letters with one zero before, between and after words.
 
     Characters that are neither letters nor white space vanish, so separators inside a word do not part it; runs of
@@ -73,7 +76,7 @@ def words_of(texts: list[str]):
     if inner.any():
         codes, text = np.delete(codes, bounds[inner]), np.delete(text, bounds[inner])
         bounds = np.flatnonzero(codes == 0)
-    far = np.flatnonzero(np.diff(bounds) > LONGEST + 1)
+    far = np.flatnonzero(np.diff(bounds) > LONGEST + 1) if cut else ()
     cut = [p for k in far for p in range(int(bounds[k]) + 1 + LONGEST, int(bounds[k + 1]), LONGEST)]
     if cut:  # a very long word is compared piece by piece
         codes, text = np.insert(codes, cut, 0), np.insert(text, cut, text[cut])
@@ -82,6 +85,81 @@ def words_of(texts: list[str]):
     return codes, bounds, text[words + 1] if len(words) else np.zeros(0, np.int32)
 
 
+def parts_of(texts: list[str]):
+    """(codes, bounds, text of each word) of runs that other characters part, where words_of joins the parts; one-letter parts are left out."""
+    low = ("\0" + "\0".join(t.lower().replace("\0", " ") for t in texts) + "\0").encode("utf-32-le")
+    codes = np.frombuffer(low, np.uint32)
+    kind = letters()[codes]
+    text = np.cumsum(codes == 0, dtype=np.int32) - 1
+    on = kind == 1
+    first = np.flatnonzero(on & ~np.concatenate([[False], on[:-1]]))
+    last = np.flatnonzero(on & ~np.concatenate([on[1:], [False]]))
+    run = np.cumsum(kind == 2)[first]
+    keep = (np.bincount(run, minlength=1)[run] > 1) & (last > first) if len(run) else np.zeros(0, bool)
+    first, last = first[keep], last[keep]
+    if not len(first):
+        return np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+    size = last - first + 1
+    bounds = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.zeros(bounds[-1] + 1, np.uint32)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(bounds[:-1] + 1, size) + at] = codes[np.repeat(first, size) + at]
+    return out, bounds, text[first]
+
+
+def windows_of(codes, bounds, text, table: np.ndarray):
+    """(sums, text) of windows inside long runs, each normalised and bounded as a word of its own: the local maxima.
+
+    With the sums by stretch, of subsequences inside and of those with a bound before, behind or at both ends, any window is
+    a difference of running sums.
+    """
+    size = np.diff(bounds) - 1
+    long = np.flatnonzero(size > RUN)
+    if not len(long):
+        return np.zeros(0, np.float32), np.zeros(0, np.int32)
+    owner = text[np.cumsum(size > 0)[long] - 1]
+    n = size[long] + STRETCH + 1
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    take = np.where(at < np.repeat(size[long], n), np.repeat(bounds[long] + 1, n) + at, 0)
+    run = np.where(at < np.repeat(size[long], n), codes[take], 0)  # runs, each followed by room
+    left = np.repeat(size[long], n) - at  # letters from here on, at the end 0 and less
+    pad = np.concatenate([run, np.zeros(STRETCH + 2, np.uint32)])
+    before = np.concatenate([[0], pad[:-1]]).astype(np.uint32)  # from one place before
+    total = len(run)
+    inside, open_, shut, both = (np.zeros((STRETCH + 1, total), np.float64) for _ in range(4))
+    for shape in OFFSETS:
+        last, weight = shape[-1], DECAY ** (shape[-1] - 1)
+        for out, base, a, b in ((inside, pad, 1, 1), (open_, before, 0, 1), (shut, pad, 1, 0), (both, before, 0, 0)):
+            piece = lambda k, base=base: base[k : k + total]
+            h = a * piece(0) * MULT[0] + b * piece(last) * MULT[3] + piece(shape[0]) * MULT[1] * np.uint32(len(shape))
+            if len(shape) == 3:
+                h = h + piece(shape[1]) * MULT[2]
+            h = h.astype(np.uint32)
+            out[last] += weight * table[(h ^ (h >> np.uint32(13))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)]
+    run_sums = np.concatenate([np.zeros((STRETCH + 1, 1)), np.cumsum(inside, axis=1)], axis=1)
+    best = np.full(total, -np.inf)
+    place = np.arange(total)
+    for width in WINDOWS:
+        p = place[left >= width]
+        value = np.zeros(len(p))
+        for last in range(2, STRETCH + 1):
+            if width > last:
+                value += run_sums[last, p + width - last] - run_sums[last, p]
+            if width >= last:
+                value += open_[last, p] + shut[last, p + width - last]
+            if width + 1 == last:
+                value += both[last, p]
+        best[p] = np.maximum(best[p], value / norms()[width])
+    high = best.copy()
+    group = np.repeat(np.arange(len(long)), n)
+    for k in range(1, APART + 1):
+        same = group[k:] == group[:-k]
+        high[k:] = np.where(same, np.maximum(high[k:], best[:-k]), high[k:])
+        high[:-k] = np.where(same, np.maximum(high[:-k], best[k:]), high[:-k])
+    top = np.flatnonzero((best == high) & np.isfinite(best))
+    return best[top].astype(np.float32), owner[group[top]]
+
+
 def subsequences(codes: np.ndarray):
     """For each shape of subsequence: (places, rows of the hashed table, weight); no shape crosses a word bound."""
     zero = np.concatenate([[0], np.cumsum(codes == 0)])
@@ -213,8 +291,13 @@ def machine(x: Rows, sign: np.ndarray, weight: np.ndarray, w: np.ndarray, bias:
 
 def margins(model: Model, texts: list[str]) -> np.ndarray:
     """(texts, TOP): the highest word margins of each text, -1.5 where it has fewer words."""
-    codes, bounds, text = words_of(texts)
-    value = np.clip(word_sums(codes, bounds, model.table) + model.bias, -1.5, 1.5)
+    runs = words_of(texts, False)
+    codes, bounds, text = words_of(texts) if len(runs[1]) > 1 and np.diff(runs[1]).max() > LONGEST + 1 else runs
+    parts, inner = parts_of(texts), windows_of(*runs, model.table)
+    value = np.concatenate([word_sums(codes, bounds, model.table), word_sums(parts[0], parts[1], model.table), inner[0]])
+    text = np.concatenate([text, parts[2], inner[1]])
+    order = np.argsort(text, kind="stable")
+    value, text = np.clip(value[order] + model.bias, -1.5, 1.5), text[order]
     out = np.full((len(texts), TOP), -1.5, np.float32)
     value = value.copy()
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, int)

@@ -100,6 +100,27 @@ def test_toxicity_learns_many_rare_insults():
     assert (bad >= 0.7).mean() > 0.95 and (good >= 0.7).mean() < 0.05
 
 
+def test_toxicity_within_long_runs():
+    model = toxicity.learn(labelled())
+    words = [w for w in text("en", 60, "q").split() if len(w) > 2]
+    clean, run = ",".join(words), "".join(words[:40])
+    for at in range(50, 70):
+        insults = "".join(w + run[i : i + 9] for w, i in zip(INSULTS, (3, 14, 25), strict=True))
+        assert toxicity.score(model, [run[:at] + insults + run[at:]])[0] >= 0.7
+    bad = [",".join([*words[:20], *INSULTS, *words[20:]]), "/".join([*words[:3], *INSULTS])]
+    assert toxicity.score(model, bad).min() >= 0.7 > toxicity.score(model, [clean, run]).max()
+
+
+def test_windows_are_scored_as_words():
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    run = "".join(chr(97 + c) for c in rng.integers(0, 26, 40))
+    value, owner = toxicity.windows_of(*toxicity.words_of(["a b", f"x {run} y"], False), table)
+    all_ = [max(float(toxicity.kernel_sum([run[i : i + k]], table)[0]) for k in toxicity.WINDOWS if i + k <= 40) for i in range(39)]
+    want = [v for i, v in enumerate(all_) if v == max(all_[max(0, i - toxicity.APART) : i + toxicity.APART + 1])]
+    assert set(owner.tolist()) == {1} and value.tolist() == pytest.approx(want, abs=1e-4)
+
+
 def test_kernel_is_a_kernel():
     words = ["idiot", "idxiot", "table", "a", "tabletop", "x" * 80]
     k = toxicity.kernel(words[:5], words[:5])
