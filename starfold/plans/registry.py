@@ -11,6 +11,7 @@ from starfold.plans import pipelines
 from starfold.sources.lightcurves import lc_events, lc_lineitem, nest, of_class, unnest
 
 PMIN, DPHI = 0.5, 0.25  # of verified periodograms
+PRODUCTION = (0.2, 0.02)  # least period and phase step of the queries without SQL
 BANDS3 = ("click", "purchase", "view")
 DUSTY = templates.synthetic("dusty", BANDS3, 8, 0.15)
 PLAIN = templates.synthetic("plain", BANDS3, 8, 0.1, dusty=False)
@@ -578,37 +579,37 @@ def _sparse(spark, sf):
 
 @query()
 def template_fit_rr(spark, sf):
-    return fit.fit(_sparse(spark, sf), [DUSTY], 0.5, 0.5, 0.9).drop("mu_band")
+    return fit.fit(_sparse(spark, sf), [DUSTY], *PRODUCTION).drop("mu_band")
 
 
 @query()
 def template_fit_mb(spark, sf):
-    return fit.fit(_sparse(spark, sf), [PLAIN], 0.5, 0.5, 0.9).withColumn("mu_band", F.array_join(F.transform(F.array_sort(F.map_entries("mu_band")), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"], 4).cast("string"))), ","))
+    return fit.fit(_sparse(spark, sf), [PLAIN], *PRODUCTION).withColumn("mu_band", F.array_join(F.transform(F.array_sort(F.map_entries("mu_band")), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"], 4).cast("string"))), ","))
 
 
 @query()
 def template_fit_warm(spark, sf):
-    return fit.fit(_sparse(spark, sf), [DUSTY], 0.5, 1.0, 0.9, warm=True).drop("mu_band")
+    return fit.fit(_sparse(spark, sf), [DUSTY], *PRODUCTION, warm=True).drop("mu_band")
 
 
 @query()
 def library_fit(spark, sf):
-    return fit.best_template(fit.fit(_sparse(spark, sf), LIBRARY, 0.5, 1.0, 0.9, blocks=4)).drop("mu_band")
+    return fit.best_template(fit.fit(_sparse(spark, sf), LIBRARY, *PRODUCTION, blocks=4)).drop("mu_band")
 
 
 @query()
 def candidate_job(spark, sf):
-    return pipelines.candidates(_lc(spark, sf), LIBRARY, list(BANDS3), pipelines.Job(pmin=0.5, pmax=0.9, dphi=1.0, blocks=4))
+    return pipelines.candidates(_lc(spark, sf), LIBRARY, list(BANDS3), pipelines.Job(blocks=4))
 
 
 @query()
 def two_stage(spark, sf):
-    return pipelines.two_stage(_sparse(spark, sf), LIBRARY[:4], coarse=1.0, fine=0.1, pmin=0.5).drop("mu_band")
+    return pipelines.two_stage(_sparse(spark, sf), LIBRARY[:4]).drop("mu_band")
 
 
 @query()
 def mc_threshold(spark, sf):
-    return periodogram.threshold(_lc(spark, sf), PMIN, DPHI, 0.9, runs=2, seed=1)
+    return periodogram.threshold(_lc(spark, sf), *PRODUCTION, runs=2, seed=1)
 
 
 @query()
@@ -645,5 +646,5 @@ def avg_linkage(spark, sf):
 @query()
 def rf_classify(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)), (F.col("label") % 2).cast("double").alias("label"))
-    model, _ = library.classify(v, [f"x{i}" for i in range(8)], trees=20, folds=2)
+    model, _ = library.classify(v, [f"x{i}" for i in range(8)])
     return model.transform(v).select("vec_id", "prediction")

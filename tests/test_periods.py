@@ -195,3 +195,27 @@ def test_catalog_fit_skips_thin_objects(spark):
     flux = lc.select("object_id", "row_id", "t", "band", F.pow(F.lit(10.0), (31.4 - F.col("mag")) / 2.5).alias("flux")).withColumn("flux_err", F.col("flux") * 0.02)
     got = pipelines.catalog_fit(flux, TPL, ["g", "r", "y"], pmin=0.5, dphi=0.2, pmax=0.6).collect()
     assert [r["object_id"] for r in got] == [0] and math.isfinite(got[0]["rss"])
+
+
+def test_registered_queries_use_the_production_settings(monkeypatch):
+    from starfold.plans import registry
+
+    calls = []
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    def note(*a, **k):
+        calls.append((a[2:], k))
+        return Any()
+
+    for module, name in ((registry.fit, "fit"), (registry.pipelines, "two_stage"), (registry.periodogram, "threshold"), (registry.pipelines, "candidates")):
+        monkeypatch.setattr(module, name, note)
+    for name in ("_sparse", "_lc"):
+        monkeypatch.setattr(registry, name, lambda *a: None)
+    for name in ("template_fit_rr", "template_fit_warm", "two_stage", "candidate_job"):
+        registry.QUERIES[name](None, None)
+    (rr, _), (warm, _), two, (job, _) = calls
+    assert rr == warm == (0.2, 0.02) and two == ((), {})
+    assert (job[1].pmin, job[1].pmax, job[1].dphi) == (0.44, 0.89, 0.02)
