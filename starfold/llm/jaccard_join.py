@@ -253,7 +253,8 @@ def text_classes(rows: DataFrame) -> DataFrame:
     clusters = components(forest)
     clusters = clusters.select(F.col("u").alias("th"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("th"), F.col("v").alias("cluster")).distinct())
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").join(texts.select("th", F.col("rep").alias("doc_id")), "th")
-    held = rows.select("doc_id", "th", "text").join(sized, ["doc_id", "th"])
+    sized = sized.select(F.col("doc_id").alias("rep"), F.col("th").alias("_th"), "cluster", "n")
+    held = rows.select("doc_id", "th", "text").join(sized, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("_th"))).select("th", "cluster", "n", "text")
     checked = in_blocks(held).select("cluster", "lo", "hi", "block", "th", "text").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verify, "th binary, root binary, links long")
     checked, checked_path = shared.written(checked, "links")
     roots = components(checked.select(F.col("th").alias("u"), F.col("root").alias("v")))

@@ -21,7 +21,6 @@ from . import shared
 BITS = 17  # log2 of the n-gram table's rows
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 1000  # bound of the training sample: expected texts of a language
-MAX_LANGUAGES = 64  # bound of the label set; the most frequent ones are learned
 SWITCH_PENALTY = 9.0  # nats for a change of language between neighbouring words
 CLIP = 6.0  # the most that one word can speak against a language
 MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -150,17 +149,16 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from text and non-null lang of the rows outside the held-out third.
 
-    The sample is bounded: each of the MAX_LANGUAGES most frequent languages keeps rows whose hashed id falls below a share
-    that is expected to give ``per_language`` texts; equal texts count once.
+    Every language is learned.  The sample is bounded: each keeps rows whose hashed id falls below a share that is expected to give ``per_language`` texts; equal texts count once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (shared.fold_of(F.col("doc_id")) != 1))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts), F.lit(0.0))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20)
-    sample = rows.where(drawn).limit(2 * per_language * len(names)).select("lang", "text").collect()
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, _share double")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
+    sample = rows.join(F.broadcast(share), "lang").where(drawn).limit(2 * per_language * len(names)).select("lang", "text").collect()
     grams = np.zeros((1 << BITS, len(names)), np.float64)
     script = np.zeros((N_SCRIPTS, len(names)), np.float64)
     for k, name in enumerate(names):

@@ -266,3 +266,11 @@ def test_license_windows_against_brute_force(spark):
             best[name] = max(best.get(name, 0), top)
         names = sorted(n for n, d in best.items() if d >= 0.8 - 1e-12)
         assert got[k] == (",".join(names), round(max(best[n] for n in names), 9) if names else 0.0)
+
+
+def test_near_copies_with_null_ids_are_linked(spark):
+    base = prose(80, 5)
+    docs = table(spark, [(None, base), (None, base + " one"), (7, base + " two"), (8, prose(80, 6))])
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.classes(docs).collect()]
+    assert len(got) == 4 and set(got) == {(8, 8, 0), (7, 7, 2), (None, 7, 2)}
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()} == {7, 8}

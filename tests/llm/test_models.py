@@ -33,6 +33,15 @@ def test_language(spark):
     assert spans[0][0]["start"] == 0 and spans[0][1]["end"] == len(mixed)
 
 
+def test_more_than_64_languages_are_learned(spark):
+    rng = random.Random(8)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    docs = spark.createDataFrame([(100 * k + i, " ".join(rng.choice(words) for _ in range(30)), lang) for k, (lang, words) in enumerate(own.items()) for i in range(8)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted(own)
+    assert language.label(model, [" ".join(words) for words in own.values()])[0] == list(own)
+
+
 def test_language_of_odd_rows(spark):
     docs = odd(spark)
     model = language.fit(corpus(spark))
