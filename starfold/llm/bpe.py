@@ -88,7 +88,7 @@ def lower(text: str) -> str:
 class Bpe:
     """One vocabulary file: ``encode`` gives the ids of a text as a numpy array, ``decode`` the text of ids.
 
-    ``own_merges`` merges by the rank array; otherwise words that the cache lacks go to the library in one batch.
+    ``own_merges`` merges by the rank array; otherwise the tokenizers library encodes every word that the cache lacks.
     Special tokens written in a text become their single id, as the library does by default.
     """
 
@@ -122,8 +122,6 @@ class Bpe:
             self._tabulate()
         else:
             self.library = library
-            self.library.no_truncation()
-            self.library.no_padding()
         code = {c: b for b, c in enumerate(self.alphabet)}
         self.bytes_of = [b""] * self.size
         for token, i in vocab.items():
@@ -261,8 +259,10 @@ class Bpe:
     def learn(self, missing: list[str]) -> None:
         """Put words into the cache."""
         if self.library is not None:
-            for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+            tokenize, of_bytes = self.library.model.tokenize, dict(enumerate(self.alphabet))
+            for w in missing:
+                made = tokenize(w.encode().decode("latin-1").translate(of_bytes))
+                self.cache[w] = np.array([t.id for t in made], self.dtype).tobytes()
             return
         short = []
         for w in missing:

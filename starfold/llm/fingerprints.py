@@ -14,6 +14,8 @@ from . import shared
 
 WORDS = 5
 FRACTION = 4  # one hash in so many is kept
+LIMIT = -(1 << 63) + (1 << 64) // FRACTION
+NO_ID = -(1 << 63)  # stands for a null doc_id where ids are compared
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -23,16 +25,17 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(hashed, F.transform(words, lambda w: F.xxhash64(w)))
     n = F.size(hashed)
     run = lambda x, i: F.xxhash64(x, *(F.get(F.col(hashed), i + k) for k in range(1, WORDS)))
-    limit = -(1 << 63) + (1 << 64) // FRACTION
     df = df.withColumn(shingled, F.transform(F.when(n <= WORDS, F.slice(hashed, 1, 1)).otherwise(F.slice(hashed, F.lit(1), F.greatest(n - WORDS + 1, F.lit(1)))), run))
-    low = F.filter(shingled, lambda h: h < limit)
-    kept = F.when(F.exists(shingled, lambda h: h < limit), F.array_sort(F.array_distinct(low))).when(n > 0, F.array(F.array_min(shingled))).otherwise(F.array().cast("array<long>"))
+    low = F.filter(shingled, lambda h: h < LIMIT)
+    kept = F.when(F.exists(shingled, lambda h: h < LIMIT), F.array_sort(F.array_distinct(low))).when(n > 0, F.array(F.array_min(shingled))).otherwise(F.array().cast("array<long>"))
     return df.withColumn(out, kept).drop(hashed, shingled)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of two texts' shingles together, equal to that of their union: a least hash that stood in for none goes once there is one below the limit."""
+    both = F.array_union(a, b)
+    low = F.filter(both, lambda h: h < LIMIT)
+    return F.when(F.size(low) > 0, F.array_sort(low)).otherwise(F.slice(F.array_sort(both), 1, 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -46,30 +49,37 @@ def said(sketch: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], prepare) -> DataFrame:
-    """``prepare(docs)`` with ``bucket`` and, for each of the columns, ``next_<column>`` of the row after it by (doc_id, text); after the last comes the first.
+    """``prepare(docs)`` with, for each of the columns, ``next_<column>`` of the row after it by (doc_id, text); after the last comes the first.
 
-    Rows are dealt into ranges of doc_id by approximate quantiles and sorted there, so no task holds all rows; the first row
-    of each range is found by its id and joined to the range before it.
+    Rows are dealt into ranges of doc_id by approximate quantiles and sorted there, so no task holds all rows.  A copy of each
+    range's first row is put at the end of the range before it, so texts only move with their range; to the driver come the
+    least id of each range alone.  Null ids come first; equal rows stand side by side; an empty table gives none.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    range_, extra = "_starfold_range", "_starfold_copy"
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
     bounds = sorted(set(bounds)) if n > 1 else []
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))) if len(bounds) <= 16 else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
-    docs = docs.withColumn("bucket", at)
+    if len(bounds) <= 16:
+        at = sum((F.when(doc_id > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    else:
+        at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < doc_id))
+    ranged = docs.withColumn(range_, at)
+    heads = dict(ranged.groupBy(range_).agg(F.min(doc_id)).collect())
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
-    heads = docs.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("head"))
-    first = docs.join(F.broadcast(heads), "bucket").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where("_r = 1")
-    first = prepare(first).select("bucket", F.struct(*columns).alias("_head"))
-    docs = prepare(docs)
-    ring = Window.orderBy(F.desc("bucket"))
-    # the bucket before each head; before the first head stands the last bucket
-    before = first.withColumn("to", F.coalesce(F.lead("bucket").over(ring), F.max("bucket").over(Window.partitionBy()))).select(F.col("to").alias("bucket"), "_head")
-    within = Window.partitionBy("bucket").orderBy(*order)
-    rows = docs.withColumn("_next", F.lead(F.struct(*columns)).over(within))
-    rows = rows.join(before, "bucket", "left")
-    pick = F.coalesce("_next", "_head")
-    return rows.select(*[c for c in docs.columns], *(pick[c].alias(f"next_{c}") for c in columns))
+    if not heads:
+        firsts = ranged.where("false")
+    else:
+        held = sorted(heads)
+        head = F.element_at(F.create_map(*(F.lit(x) for k in held for x in (k, heads[k]))), F.col(range_))
+        before = F.element_at(F.create_map(*(F.lit(x) for k, to in zip(held, [held[-1], *held[:-1]], strict=True) for x in (k, to))), F.col(range_))
+        firsts = ranged.where(doc_id == head).withColumn(extra, F.row_number().over(Window.partitionBy(range_).orderBy(*order))).where(F.col(extra) == 1)
+        firsts = firsts.drop(extra).withColumn(range_, before)
+    rows = ranged.withColumn(extra, F.lit(False)).unionByName(firsts.withColumn(extra, F.lit(True)))
+    after = F.lead(F.struct(*columns)).over(Window.partitionBy(range_).orderBy(extra, *order))
+    rows = prepare(rows).withColumn("_starfold_next", after).where(~F.col(extra))
+    return rows.select("*", *(F.col(f"_starfold_next.{c}").alias(f"next_{c}") for c in columns)).drop(range_, extra, "_starfold_next")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """N-gram Jaccard join: MinHash bands, Bayesian pruning of candidates, exact verification.
 
-1. Texts are classed by MD5; one of each class goes on.  Its five-word shingles give a MinHash signature.
+1. Texts are classed by SHA-256; one of each class goes on.  Its five-word shingles give a MinHash signature.
 2. Signatures are cut into bands; texts that agree in a band meet.  Where many meet, they are dealt into blocks, and
    every pair of blocks is one group, so that no group is large and no pair of texts becomes a row.
 3. In a group, signatures are compared a step at a time; a pair is dropped once the posterior probability (uniform
@@ -268,8 +268,8 @@ def text_classes(rows: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``th``, the MD5 of the text (null: empty)."""
-    return docs.withColumn("th", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    """Adds ``th``, the SHA-256 of the text (null: empty)."""
+    return docs.withColumn("th", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each class the row with the least doc_id (nulls: one of them)."""
     own = {k: f"_starfold_{k}" for k in ("id", "th", "kept", "rep")}  # names that no column of docs has
-    rows = docs.withColumn(own["id"], F.col("doc_id").cast("long")).withColumn(own["th"], F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    rows = docs.withColumn(own["id"], F.col("doc_id").cast("long")).withColumn(own["th"], F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
     known = text_classes(keyed(shared.id_text(docs))).where(F.col("rep").eqNullSafe(F.col("class_id")))
     # texts of one class that share the least doc_id: the least hash stays
     kept = known.groupBy("class_id").agg(F.min("th").alias(own["kept"])).withColumnRenamed("class_id", own["rep"])

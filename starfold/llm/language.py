@@ -35,6 +35,8 @@ SCRIPTS = (
     (0xF900, 0xFAFF, 26), (0x20000, 0x3FFFF, 26),
 )
 N_SCRIPTS = 27
+UNSPACED = (17, 18, 19, 23, 24, 25, 26)  # scripts that write no spaces between words
+UNIT = (24, 4)  # letters of a scored unit at most, elsewhere and in such scripts
 
 _tables: list[np.ndarray] = []
 
@@ -64,13 +66,32 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def units(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut where the script changes and into stretches of UNIT letters, so that a run without spaces weighs as many words."""
+    script = tables()[1][codes]
+    size = ends - starts
+    place = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    own, before = script[place], script[place - 1]
+    first = np.zeros(len(place), bool)
+    first[np.cumsum(size) - size] = True
+    first |= (own != before) & (own > 0) & (before > 0)
+    run = np.flatnonzero(first)
+    lone = np.isin(np.arange(N_SCRIPTS), UNSPACED)
+    most = np.where(lone[own[run]], UNIT[1], UNIT[0])
+    long = np.diff(np.append(run, len(place)))
+    at = np.arange(len(place)) - np.repeat(run, long)
+    first |= at % np.repeat(most, long) == 0
+    starts = place[first]
+    return starts, place[np.append(np.flatnonzero(first)[1:], len(place)) - 1] + 1 if len(starts) else ends[:0]
+
+
 def words_of(texts: list[str]):
-    """(codes, starts, ends, word's text, text's begin): code points of all texts, one zero before, between and after; words as ranges of it."""
+    """(codes, starts, ends, word's text, text's begin): code points of all texts, one zero before, between and after; words (see ``units``) as ranges of it."""
     codes = np.frombuffer(("\0" + "\0".join(lowered(t) for t in texts) + "\0").encode("utf-32-le"), np.uint32)
     begin = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     letter = tables()[0][codes]
     change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-    starts, ends = change[::2], change[1::2]
+    starts, ends = units(codes, change[::2], change[1::2])
     letters = np.cumsum(tables()[2][codes], dtype=np.int32)
     real = letters[ends - 1] > letters[starts - 1]  # marks alone are no word
     starts, ends = starts[real], ends[real]
@@ -172,6 +193,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(names, table, allowed)
 
 
+def familiar(model: Model, texts: list[str | None]) -> list[bool]:
+    """Whether at least half the letters of each text are of scripts that some learned language uses; texts without letters are not."""
+    known = model.allowed.any(1) if model.languages else np.ones(N_SCRIPTS, bool)
+    out = []
+    for a, b in shared.pieces(texts):
+        codes, _, starts, ends, text, _ = words_of([t or "" for t in texts[a:b]])
+        size, ok = ends - starts, known[tables()[1][codes[starts]]]
+        all_, own = (np.bincount(text, weights=w, minlength=b - a) for w in (size, size * ok))
+        out += ((all_ > 0) & (2 * own >= all_)).tolist()
+    return out
+
+
 def label(model: Model, texts: list[str | None], with_spans: bool = False):
     """(language, score, spans) of each text; ``und`` with score 0 if it is null or has no letter.
 
@@ -210,8 +243,9 @@ def label(model: Model, texts: list[str | None], with_spans: bool = False):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` of every row; lang, source and doc_id play no part.  A narrow map.
 
-    Null, empty and letterless texts are ``und`` with score 0 and no spans; repeated rows are each labelled; an empty table
-    gives an empty result.
+    Null, empty and letterless texts are ``und`` with score 0 and no spans (all texts, where no language was learned);
+    texts in scripts that no learned language uses get the nearest one, see ``familiar``; repeated rows are each
+    labelled; an empty table gives an empty result.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -158,7 +158,7 @@ def _oracle() -> str:
 WITH template(name, own) AS (VALUES {said}),
 norm AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS norm FROM documents),
 unit AS (SELECT r, 1 AS line, unnest(string_split(norm, chr(10))) AS u FROM norm UNION ALL SELECT r, 0, regexp_replace(norm, '\s+', ' ', 'g') FROM norm),
-numbered AS (SELECT row_number() OVER () AS k, r, line, list_filter(string_split_regex(u, '\s+'), lambda w: w <> '') AS w FROM unit WHERE regexp_matches(u, 'licen|permission|redistribution')),
+numbered AS (SELECT row_number() OVER () AS k, r, line, list_filter(string_split_regex(u, '\s+'), lambda w: w <> '') AS w FROM unit),
 pairs AS (SELECT k, r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM numbered),
 hits AS (SELECT k, r, line, name, 2.0 * len(list_intersect(b, own)) / (len(b) + len(own)) AS d FROM pairs, template WHERE 2.0 * len(list_intersect(b, own)) / (len(b) + len(own)) >= {THRESHOLD}),
 best AS (SELECT r, count(DISTINCT CASE WHEN line = 1 THEN k END) AS n_notices, array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses, arg_min(name, (-d, name)) AS best_license, max(d) AS best_dice FROM hits GROUP BY r)

@@ -4,16 +4,18 @@ Queries and candidates are dealt into blocks by hash; each pair of a query block
 keyed join.  In a group, unit vectors are rounded to int8 with a scale each; the tile of products gives every cosine up
 to a bound that follows from the rounding errors.  Pairs whose upper bound reaches the k-th best lower bound of their
 query survive and are computed again from the original vectors.  Each group returns the k best of each of its queries;
-these short lists are merged per query.  The result is exact.
+these short lists meet by query and a bounded heap merges them, a stream of rows at a time.  The result is exact.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATES = 4096  # rows of a candidate block
@@ -25,16 +27,30 @@ VALID = """vec_id is not null and embedding is not null and size(embedding) > 0
 
 
 def rounded(unit: np.ndarray):
-    """(int8 values as floats, scale, length of the rounding error) of unit vectors."""
+    """(int8 values, scale, length of the rounding error) of unit vectors."""
     scale = np.abs(unit).max(1) / 127
-    q = np.rint(unit / scale[:, None])
-    return q.astype(np.float32 if unit.shape[1] <= 1000 else np.float64), scale, np.sqrt(np.square(unit - q * scale[:, None]).sum(1)) + 1e-9
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
+    return q, scale, np.sqrt(np.square(unit - q * scale[:, None]).sum(1)) + 1e-9
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of int8 rows, exactly: sums of at most 1,000 places fit a float's integers, longer rows are added up in parts."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(0, a.shape[1], 1000):
+        total += a[:, i : i + 1000].astype(np.float32) @ b[:, i : i + 1000].astype(np.float32).T
+    return total
+
+
+def distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each id, by id: of several vectors the least in numeric order of components."""
+    order = np.lexsort((*vectors.T[::-1], ids))
+    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(ids) else order
+    return ids[order], vectors[order]
 
 
 def tile(query_ids, queries, ids, vectors, k: int) -> pd.DataFrame:
     """The k nearest of each query among these candidates: ``query_id, vec_id, score``; a candidate with the query's own id is left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    (query_ids, queries), (ids, vectors) = distinct(query_ids, queries), distinct(ids, vectors)
     big = np.abs(vectors).max(1)
     top_q = np.abs(queries).max(1)
     v, q = vectors / big[:, None], queries / top_q[:, None]  # so that squares neither overflow nor vanish
@@ -44,7 +60,7 @@ def tile(query_ids, queries, ids, vectors, k: int) -> pd.DataFrame:
     out = []
     for i in range(0, len(q), SLICE):
         j = slice(i, i + SLICE)
-        near = (a[j] @ b.T).astype(np.float64) * sa[j, None] * sb
+        near = products(a[j], b) * sa[j, None] * sb
         slack = eb + (1 + eb) * ea[j, None]
         low, high = near - slack, near + slack
         own = query_ids[j, None] == ids
@@ -66,12 +82,43 @@ def tile(query_ids, queries, ids, vectors, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
+def merged(k: int):
+    """Short lists (query_id, vec_id, score), sorted by query, to the k best of each query with their ranks."""
+
+    def out(query: int, heap: list) -> dict:
+        best = sorted(heap, reverse=True)
+        return {"query_id": [query] * len(best), "rank": [*range(1, len(best) + 1)], "vec_id": [-v for _, v in best], "score": [s for s, _ in best]}
+
+    def run(batches):
+        query, heap = None, []
+        schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        for b in batches:
+            made = []
+            for q, v, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if q != query:
+                    if heap:
+                        made.append(out(query, heap))
+                    query, heap = q, []
+                row = (s, -v)
+                if len(heap) < k:
+                    heapq.heappush(heap, row)
+                elif row > heap[0]:
+                    heapq.heapreplace(heap, row)
+            if made:
+                yield pa.RecordBatch.from_pydict({c: [x for m in made for x in m[c]] for c in schema.names}, schema=schema)
+        if heap:
+            yield pa.RecordBatch.from_pydict(out(query, heap), schema=schema)
+
+    return run
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``vec_id, embedding`` where ``is_query`` holds, its k nearest other rows by cosine.
 
     Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids; vectors are compared
-    with those of the same length.  Ties go to the smaller vec_id; fewer candidates than k give fewer rows, an empty
-    table gives none.  Other columns fall away.
+    with those of the same length.  Rows of one vec_id count once, as query and as candidate (of several vectors of one
+    length the least by components).  Ties go to the smaller vec_id; fewer candidates than k give fewer rows, an empty table gives none.  Other
+    columns fall away.
     """
     spark = vectors.sparkSession
     # each embedding is read anew from its source: what is shuffled is one copy per block of the other side
@@ -91,8 +138,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     keys = ["dim", "qb", "cb"]
     short = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(group, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return short.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return short.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merged(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Packing by power-of-two decomposition: no sequence crosses documents.
 
 The ids of a document, its end id included, are cut into pieces of ``limit`` (a power of two) and then, for what is
-left, of the powers of two that its binary form names, longest first.  Each piece is a whole sequence without padding,
-and sequences of equal length form one bucket, so a batch takes one bucket.  Every piece depends on its own document
-alone: the operator is a narrow map without a shuffle.
+left, of the powers of two that its binary form names, longest first.  Each piece is a whole sequence without padding, so
+no sequence crosses documents.  ``bucketed`` then brings sequences of equal length together, so a batch takes one bucket;
+what it moves is the rows of pieces, and a bucket is spread over as many partitions as tasks made it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, shared
 from .codec import vocabulary
@@ -43,7 +44,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
     def run(batches):
         from pyspark import TaskContext
 
-        model = bpe.load(path)
+        model = bpe.load(path, own_merges=False)
         end = np.array([end_id], model.dtype)
         sequence = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -70,5 +71,14 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
     return shared.id_text(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """The pieces with equal lengths side by side: partitions by (bucket, packing task), sorted by bucket and sequence.
+
+    The most frequent length is spread like any other, since no partition takes a whole bucket.
+    """
+    task = F.shiftright("sequence_id", 33)
+    return pieces.repartition("bucket", task).sortWithinPartitions("bucket", "sequence_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(shared.documents(spark, sf_dir), vocabulary("word_bpe_49k.json")).drop("bucket")
+    return bucketed(pack(shared.documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))

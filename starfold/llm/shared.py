@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a new temporary one where that is unset (local runs and tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a new temporary folder; any other raises, as its executors have other disks.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="starfold-")
         sc.setCheckpointDir(root)
@@ -59,8 +64,8 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def fold_of(doc_id):
-    """The remainder that holds rows out of training: crc32 of the id as text, modulo 3."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+    """The remainder that holds rows out of training: crc32 of the id as text, modulo 3 (null ids: that of the empty text, 0)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
 def crc32_mod3(doc_id: int) -> int:

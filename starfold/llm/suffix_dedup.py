@@ -12,7 +12,7 @@ document.  Only suffixes at anchors are sorted (see ``suffixes``; no repeat is l
    step 4; a mark tells its range to do the same.
 3. Ranges sort their suffixes by multikey quicksort; equal k-grams are then neighbours, and windows with equal bytes are
    found among them: all but the first by (doc_id, place) are repeats.
-4. First windows of k-grams that were split over several sorters are compared across these boundaries, by digest.
+4. First windows of k-grams that were split over several sorters are compared across these boundaries, by SHA-256.
 5. Blocks join the spans of their documents and cut.
 """
 
@@ -75,10 +75,9 @@ def packed_spans(kind_rows: list, block, doc, start, end) -> None:
         kind_rows.append((SPAN_, b, 0, b, zstandard.compress(np.concatenate([s.doc[r], s.start[r], s.end[r]]).astype("<i8").tobytes(), 1)))
 
 
-def packed_windows(kind_rows: list, n_buckets: int, block, doc, at, one, two) -> None:
-    bucket = (one >> np.uint64(33)).astype(np.int64) % n_buckets
-    for b, r in by_value(bucket):
-        raw = np.concatenate([one[r].view("<i8"), two[r].view("<i8"), doc[r], at[r], block[r]]).astype("<i8").tobytes()
+def packed_windows(kind_rows: list, n_buckets: int, block, doc, at, digest) -> None:
+    for b, r in by_value((digest[:, 0] & ((1 << 31) - 1)) % n_buckets):
+        raw = np.concatenate([*digest[r].T, doc[r], at[r], block[r]]).astype("<i8").tobytes()
         kind_rows.append((WINDOW, b, 0, -1, zstandard.compress(raw, 1)))
 
 
@@ -144,8 +143,7 @@ def settle(c: Contexts, gram, rows: list, exchange: np.ndarray, n_buckets: int)
         parts.append((ctx[again], win[again]))
         go = ~again & exchange[ctx]
         if go.any():
-            one, two = digests(c.data, place[go])
-            packed_windows(rows, n_buckets, c.block[ctx[go]], c.doc[ctx[go]], c.at[ctx[go]] + win[go], one, two)
+            packed_windows(rows, n_buckets, c.block[ctx[go]], c.doc[ctx[go]], c.at[ctx[go]] + win[go], digests(c.data, place[go]))
     if parts:
         ctx, win = (np.concatenate(x) for x in zip(*parts, strict=True))
         start = c.at[ctx] + win
@@ -235,10 +233,10 @@ def ranged(n_blocks: int):
 
 def compared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Step 4, per bucket of window digests: all but the first equal window are repeats."""
-    cols = [np.concatenate(x) for x in zip(*(np.frombuffer(zstandard.decompress(r), "<i8").reshape(5, -1) for r in pdf["raw"]), strict=True)]
-    one, two, doc, at, block = cols
-    o = np.lexsort((at, doc, two, one))
-    again = np.concatenate([[False], (one[o][1:] == one[o][:-1]) & (two[o][1:] == two[o][:-1])])
+    rows_ = np.concatenate([np.frombuffer(zstandard.decompress(r), "<i8").reshape(7, -1) for r in pdf["raw"]], axis=1)
+    digest, (doc, at, block) = rows_[:4], rows_[4:]
+    o = np.lexsort((at, doc, *digest))
+    again = np.concatenate([[False], (digest[:, o[1:]] == digest[:, o[:-1]]).all(0)])
     o = o[again]
     rows: list = []
     packed_spans(rows, block[o], doc[o], at[o], at[o] + WIDTH)

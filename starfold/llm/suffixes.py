@@ -8,6 +8,7 @@ windows of one anchor are consecutive; with the bytes that they cover they form
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 
@@ -188,14 +189,10 @@ def repeated_windows(c: Contexts, gram: np.ndarray, budget: int = 1 << 20):
         at = stop
 
 
-def digests(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of the windows at these places."""
-    w = words(data)
-    a, b = np.full(len(place), 7, np.uint64), np.full(len(place), 11, np.uint64)
-    for o in (*range(0, WIDTH - 8, 8), WIDTH - 8):
-        x = w[place + o].astype(np.uint64)
-        a, b = mixed(a * ODD[8] + x), mixed((b ^ x) * ODD[9] + ODD[10])
-    return a, b
+def digests(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """SHA-256 of the windows at these places, as rows of four integers."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([sha256(raw[p : p + WIDTH]).digest() for p in place.tolist()]), "<i8").reshape(-1, 4)
 
 
 def as_spans(block, doc, start, end) -> Spans:

@@ -24,26 +24,40 @@ SHARDS = "shard int, n_docs long, n_tokens long, n_null long, width int, stem st
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def arrow_name(uri: str) -> str:
+    """A folder that Spark names, as Arrow names it: Hadoop has its own schemes for one object store, and files need none."""
+    scheme, rest = uri.split(":", 1) if ":" in uri else ("file", uri)
+    if scheme == "file" and not rest.startswith("//"):
+        rest = "//" + rest
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}"
+
+
 def _store(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_name(uri))
 
 
-def _mapped(uri: str, dtype: str):
-    """A read-only memory map; from a remote store the file is brought to a temporary file that vanishes when unmapped."""
-    import shutil
-    import tempfile
+class Far:
+    """A flat file of a remote store as an array of which only slices are read."""
+
+    def __init__(self, store, path: str, dtype: str):
+        self.file, self.dtype = store.open_input_file(path), np.dtype(dtype)
+        self.size = self.file.size() // self.dtype.itemsize
 
+    def __getitem__(self, places: slice) -> np.ndarray:
+        a, b, _ = places.indices(self.size)
+        return np.frombuffer(self.file.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
+def _mapped(uri: str, dtype: str):
+    """A read-only memory map; of a file in a remote store, ranges are read as they are asked for."""
     from pyarrow import fs
 
     store, path = _store(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
-    with tempfile.TemporaryFile() as own:
-        with store.open_input_stream(path) as far:
-            shutil.copyfileobj(far, own)
-        return np.memmap(own, dtype, "r") if own.tell() else np.zeros(0, dtype)
+    if not isinstance(store, fs.LocalFileSystem):
+        return Far(store, path, dtype)
+    return np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 0) -> DataFrame:
@@ -55,7 +69,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 0
     def run(batches):
         from pyspark import TaskContext
 
-        model = bpe.load(path)
+        model = bpe.load(path, own_merges=False)
         stem = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         off, n_docs, n_null, files = 0, 0, 0, None
         end = np.array([] if end_id is None else [end_id], model.dtype).tobytes()
@@ -96,11 +110,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ids, off, doc = _mapped(s["stem"] + ".ids", f"<u{s['width']}"), _mapped(s["stem"] + ".off", "<i8"), _mapped(s["stem"] + ".doc", "<i8")
                 for i in range(0, s["n_docs"], 1024):
                     j = min(i + 1024, s["n_docs"])
-                    at = (4 * (np.asarray(off[i : j + 1]) - off[i])).tolist()
-                    raw = memoryview(np.asarray(ids[off[i] : off[j]]).astype("<u4").tobytes())
+                    ends = np.asarray(off[i : j + 1])
+                    at = (4 * (ends - ends[0])).tolist()
+                    raw = memoryview(np.asarray(ids[int(ends[0]) : int(ends[-1])]).astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                     null = np.arange(i, j) < s["n_null"]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc[i:j]), mask=null), pa.array(s["base"] + np.asarray(off[i:j])), pa.array(np.diff(off[i : j + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc[i:j]), mask=null), pa.array(s["base"] + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     based = shards.withColumn("base", before.cast("long"))

@@ -91,7 +91,7 @@ def test_multikey_sorts():
 def word_sets(texts):
     out = []
     for t in texts:
-        w = (t or "").lower().split()
+        w = re.findall(r"[^\t-\r \0]+", (t or "").lower())  # ASCII white space alone parts words
         out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     return out
 
@@ -152,7 +152,7 @@ def test_join_of_odd_rows(spark):
     docs = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.classes(docs).collect()), key=str)
-    assert got == classes_by_brute_force([(i, (t or "").replace(" ", "_")) for i, t in rows])
+    assert got == classes_by_brute_force(rows)
     one = jaccard_join.one_of_each(docs)
     assert one.columns == docs.columns and one.count() == len({c for _, c, _, _ in got})
     assert jaccard_join.classes(empty(spark)).count() == 0 and jaccard_join.one_of_each(empty(spark)).count() == 0
@@ -193,6 +193,62 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint(docs).count() == docs.count() and fingerprints.fingerprint(empty(spark)).count() == 0
 
 
+def sketch_by_brute_force(spark, text):
+    """The shingle hashes below the limit, or the least one: words hashed by xxhash64, five at a time."""
+    from pyspark.sql import functions as F
+
+    words = re.findall(r"[^\t-\r ]+", text.lower())
+    if not words:
+        return set()
+    one = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, w string").orderBy("i").select(F.xxhash64("w")).collect()]
+    runs = [one[i : i + 5] for i in range(max(1, len(one) - 4))]
+    frame = spark.createDataFrame([tuple(r + [None] * (5 - len(r))) for r in runs], "a long, b long, c long, d long, e long")
+    hashes = {r[0] for r in frame.select(F.xxhash64("a", "b", "c", "d", "e")).collect()}
+    return {h for h in hashes if h < fingerprints.LIMIT} or {min(hashes)}
+
+
+def containment(a, b):
+    least = min(len(a), len(b))
+    return len(a & b) / least if least else float(len(a) == len(b))
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    base = prose(80, 7)
+    rows = [(1, base), (2, base + " " + prose(40, 8)), (3, "a b c"), (4, "a b c"), (5, None), (6, prose(30, 9)), (7, base)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprints.op2_fingerprints(spark, str(tmp_path)).collect()}
+    texts = [t or "" for _, t in rows]
+    for k, (i, _) in enumerate(rows):
+        t, nxt = texts[k], texts[(k + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, cut, after = (sketch_by_brute_force(spark, x) for x in (t, edited, nxt))
+        hexed = lambda s: " ".join(f"{h & (2**64 - 1):X}" for h in sorted(s))
+        assert got[i]["fingerprint"] == hexed(own) and got[i]["edited_fingerprint"] == hexed(cut)
+        assert got[i]["near_edited"] == pytest.approx(containment(own, cut)) and got[i]["near_next"] == pytest.approx(containment(own, after))
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    from pyspark.sql import functions as F
+
+    for a, b in ((prose(60, 1), prose(70, 2)), ("x y", "z"), ("x y", prose(60, 3)), ("", "q"), ("x y", "x y")):
+        df = spark.createDataFrame([(a, b)], "a string, b string")
+        df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "sa"), "b", "sb")
+        got = df.select(fingerprints.merged(F.col("sa"), F.col("sb"))).first()[0]
+        p, q = sketch_by_brute_force(spark, a), sketch_by_brute_force(spark, b)
+        low = {h for h in p | q if h < fingerprints.LIMIT}
+        assert got == sorted(low or ({min(p | q)} if p | q else set()))
+
+
+def test_queries_over_odd_rows(spark, tmp_path):
+    odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in odd(spark).collect()]
+    one = suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in one), key=str) == kept_by_brute_force(rows)
+    four = jaccard_join.op4_ngram_join(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in four), key=str) == classes_by_brute_force(rows)
+    assert fingerprints.op2_fingerprints(spark, str(tmp_path)).count() == len(rows)
+
+
 def test_fingerprint_query_edits(spark, tmp_path):
     rows = [(10, "abcdefg"), (3, None), (7, "héllo wörld 🙂x"), (12, ""), (40, prose(200, 1)), (41, prose(200, 1))]
     table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")

@@ -1,7 +1,10 @@
+import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starfold.llm import language, neighbours, toxicity
 
@@ -124,19 +127,87 @@ def test_windows_are_scored_as_words():
     rng = np.random.default_rng(5)
     table = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
     run = "".join(chr(97 + c) for c in rng.integers(0, 26, 40))
-    value, owner = toxicity.windows_of(*toxicity.words_of(["a b", f"x {run} y"], False), table)
+    value, owner = toxicity.windows_of(*toxicity.words_of(["a b", f"x {run} y"])[:3], table)
     all_ = [max(float(toxicity.kernel_sum([run[i : i + k]], table)[0]) for k in toxicity.WINDOWS if i + k <= 40) for i in range(39)]
     want = [v for i, v in enumerate(all_) if v == max(all_[max(0, i - toxicity.APART) : i + toxicity.APART + 1])]
     assert set(owner.tolist()) == {1} and value.tolist() == pytest.approx(want, abs=1e-4)
 
 
-def test_kernel_is_a_kernel():
-    words = ["idiot", "idxiot", "table", "a", "tabletop", "x" * 80]
-    k = toxicity.kernel(words[:5], words[:5])
-    assert np.allclose(k, k.T, atol=1e-5) and np.linalg.eigvalsh(k.astype(float)).min() > -1e-5
+def kernel_by_brute_force(a, b):
+    """Sums over common subsequences of three and four symbols, bounds included, each occurrence weighted by its stretch."""
+
+    def counts(word):
+        out = {}
+        x = f"<{word}<"
+        for n in (3, 4):
+            for at in itertools.combinations(range(len(x)), n):
+                if at[-1] - at[0] <= toxicity.STRETCH:
+                    key = "".join(x[i] for i in at)
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] - 1)
+        occurrences = sum(toxicity.DECAY ** (2 * (at[-1] - at[0] - 1)) for n in (3, 4) for at in itertools.combinations(range(len(x)), n) if at[-1] - at[0] <= toxicity.STRETCH)
+        return out, occurrences**0.5
+
+    (p, n), (q, m) = counts(a), counts(b)
+    return sum(v * q.get(k, 0) for k, v in p.items()) / (n * m)
+
+
+def test_kernel_against_brute_force():
+    rng = random.Random(6)
+    words = ["idiot", "idxiot", "table", "a", "tabletop", "x" * 30, *("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 16))) for _ in range(30))]
+    k = toxicity.kernel(words, words)
+    want = np.array([[kernel_by_brute_force(a, b) for b in words] for a in words])
+    assert np.abs(k - want).max() < 0.05 and (np.abs(k - want) > 1e-4).mean() < 0.03  # subsequences that share a table row
+    assert np.allclose(k, k.T, atol=1e-4) and np.linalg.eigvalsh(k.astype(float)).min() > -1e-3
     assert k[0, 1] > 0.4 > k[0, 2]
-    codes, bounds, text_ = toxicity.words_of(["a " * 200 + "x1 " + "b" * 64, "c" * 65 + " i d i o t", ""])
-    assert (np.diff(bounds) - 1).max() == toxicity.LONGEST and text_.max() == 1
+
+
+def test_long_words_are_compared_whole():
+    rng = np.random.default_rng(1)
+    word = "".join(chr(97 + c) for c in rng.integers(0, 26, 200))
+    codes, bounds, text_, _ = toxicity.words_of([word, "c" * 65 + " i d i o t", ""])
+    assert (np.diff(bounds) - 1).max() == 200 and text_.tolist() == [0, 1, 1]
+    assert toxicity.kernel([word], [word])[0, 0] == pytest.approx(1, abs=0.3)  # some subsequences occur twice
+
+
+def test_sentences():
+    assert toxicity.sentences("Ab cd. Ef g.h\nxy, zz i d i o t! qq") == [("ab", "cd"), ("ef", "gh"), ("xy", "zz", "idiot"), ("qq",)]
+    assert toxicity.sentences("a1 b2 c3 dd ee ff gg hh") == [("abc", "dd", "ee"), ("ff", "gg", "hh")] and toxicity.sentences("12 !") == []
+
+
+def test_landmarks_explain_the_kernel():
+    """The Nystroem map gives the kernel between landmarks back, and the machine's table the machine's margins."""
+    words = ["idiot", "table", "chair", "moron", "grobnik"]
+    marks = toxicity.Landmarks(words)
+    x = marks.features([(w,) for w in words])
+    assert np.allclose(x @ x.T, toxicity.kernel(words, words), atol=0.01)
+    theta = np.arange(5.0) - 2
+    some = [("idiot", "tables"), ("chair",), ("morxon", "xyz", "a")]
+    whole = [toxicity.kernel_sum(list(s), marks.table(theta)).sum() for s in some]
+    assert np.allclose(marks.features(some) @ theta, whole, atol=1e-3)
+    assert set(toxicity.landmarks_of({w: 1.0 for w in words}, 3)) <= set(words)
+
+
+def test_machine_separates():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    sign = np.where(x[:, 0] - 2 * x[:, 3] > 0.5, 1.0, -1.0)
+    w, bias = toxicity.machine(x, sign, np.ones(400))
+    assert ((x @ w + bias > 0) == (sign > 0)).mean() > 0.98
+
+
+def test_toxicity_query(spark, tmp_path):
+    rows = labelled(300)
+    table(spark, [*((i, t) for i, (t, _) in enumerate(rows)), (None, "x"), (900, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 302 and {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1
+    held = [(rows[r["doc_id"]][1], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] < 300]
+    hit = sum(p for y, p in held if y)
+    assert hit >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.02 * len(held)
 
 
 def test_toxicity_of_odd_rows(spark):
@@ -150,9 +221,42 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.predict(odd(spark), flat).count() == odd(spark).count()
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def test_language_query(spark, tmp_path):
+    corpus(spark, 240).withColumn("source", F.lit("s")).unionByName(spark.createDataFrame([(None, text("de", 30, 5), "de", "s"), (7000, None, "de", "s")], "doc_id long, text string, lang string, source string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.op9_language(spark, str(tmp_path)).collect()
+    assert len(got) == 244 and [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 240]
+    assert all(r["lang_pred"] == list(SYLLABLES)[r["doc_id"] % 3] for r in held) and {r["lang_pred"] for r in got if r["doc_id"] == 7000} == {"und"}
+
+
+def test_scripts_cut_words_and_name_strangers(spark):
+    model = language.fit(corpus(spark))
+    codes, _, starts, ends, *_ = language.words_of(["abcмир漢字かなabc " + "漢" * 10 + " " + "x" * 30])
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, ends, strict=True)] == ["abc", "мир", "漢字", "かな", "abc", "漢漢漢漢", "漢漢漢漢", "漢漢", "x" * 24, "x" * 6]
+    assert language.familiar(model, [text("en", 5, 1), "漢字かな", "", None, "12", "漢" + text("ru", 5, 2)]) == [True, False, False, False, False, True]
 
+
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    rows = [(i, x[i].tolist()) for i in range(120)]
+    df = spark.createDataFrame([*rows, *rows[:60], *rows[:7]], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas().sort_values(["query_id", "rank"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, g in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert g["vec_id"].tolist() == np.argsort(-s)[:5].tolist() and g["rank"].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_int8_products_are_exact():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-127, 128, (5, 2500), np.int8), rng.integers(-127, 128, (7, 2500), np.int8)
+    assert (neighbours.products(a, b) == a.astype(int) @ b.astype(int).T).all()
+
+
+def test_neighbours_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATES", 64)
     monkeypatch.setattr(neighbours, "QUERIES", 4)
     rng = np.random.default_rng(2)

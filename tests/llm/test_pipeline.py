@@ -21,7 +21,7 @@ def folder(spark, path, docs):
 def test_stages(spark, tmp_path):
     texts = [t for t, _ in labelled(240)]
     near = prose(90, 1)
-    rows = list(enumerate(texts)) + [(300, near), (301, near), (302, near + " more"), (303, None), (304, "123 456"), (305, prose(60, 2) + " " + near[:300]), (306, "")]
+    rows = list(enumerate(texts)) + [(300, near), (301, near), (302, near + " more"), (303, None), (304, "123 456"), (305, prose(60, 2) + " " + near[:300]), (306, ""), (307, "漢字かな交じり文 " * 9)]
     docs = table(spark, rows)
     sf = folder(spark, tmp_path, docs)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -32,10 +32,10 @@ def test_stages(spark, tmp_path):
             assert docs.columns == before.columns
             seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     first, clean, one, cut = seen.values()
-    assert set(first) == {i for i, _ in rows} - {303, 304, 306}
+    assert set(first) == {i for i, _ in rows} - {303, 304, 306, 307}
     assert set(clean) == set(first) - {i for i, (_, y) in enumerate(labelled(240)) if y}
     assert {300, 305} <= set(one) and not {301, 302} & set(one)
-    assert set(cut) == set(one) and cut[305] == rows[-2][1][: len(prose(60, 2)) + 1].rstrip() + cut[305][len(prose(60, 2)) :] and len(cut[305]) < len(one[305])
+    assert set(cut) == set(one) and cut[305] == rows[-3][1][: len(prose(60, 2)) + 1].rstrip() + cut[305][len(prose(60, 2)) :] and len(cut[305]) < len(one[305])
     assert {r["doc_id"] for r in docs.collect()} == set(cut)
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
@@ -44,6 +44,16 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, empty(spark))).count() == 0
 
 
+def test_no_language_is_learned(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, [*enumerate(t for t, _ in labelled(20)), (50, "12"), (51, None)]).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert {r["doc_id"] for r in got} == set(range(20)) and {r["lang"] for r in got} == {None}
+    mixed = docs.withColumn("lang", F.when(F.col("doc_id") > 3, F.lit("en")))
+    assert {r["lang"] for r in corpus_pipeline.identify_language(spark, mixed, "").collect()} == {"en"}
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "toxicity", "n-gram Jaccard join", "suffix-array dedup", "packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and SCHEMA and jaccard_join and packing and suffix_dedup
