@@ -323,7 +323,7 @@ def sentences(text: str) -> list[tuple[str, ...]]:
     codes, bounds, _, sentence = words_of([text])
     words = [intern(w) for w in "".join(map(chr, codes)).split("\0") if w]
     edge = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])).tolist() if words else []
-    return [*dict.fromkeys(tuple(words[a:b]) for a, b in zip(edge, [*edge[1:], len(words)], strict=True))]
+    return [*dict.fromkeys(tuple(words[a:b]) for a, b in zip(edge, [*edge[1:], len(words)], strict=False))]
 
 
 def landmarks_of(weight: dict[str, float], n: int = LANDMARKS) -> list[str]:
@@ -512,15 +512,23 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
     """Learn from the labels of rows outside the held-out third; of each label a bounded sample, drawn by hashed id, is read.
 
-    Null labels and null texts teach nothing; a doc_id with several labels counts as toxic if one of them is 1.
+    One task trains (a lost one is run again) and only the model, of fixed size, comes to the driver.  Null labels and null
+    texts teach nothing; a doc_id with several labels counts as toxic if one of them is 1.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (shared.fold_of(F.col("doc_id")) != 1))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, toxic / counts.get(1, 1)))).otherwise(F.lit(min(1.0, clean / counts.get(0, 1))))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * (toxic + clean))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(drawn), "doc_id").limit(4 * (toxic + clean)).select("doc_id", "text", "toxic").collect()
-    return learn(sorted({(r["text"], r["toxic"]) for r in got}))
+    sample = texts.join(F.broadcast(drawn), "doc_id").select("text", "toxic").limit(4 * (toxic + clean))
+
+    def train(batches):
+        rows = {(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        model = learn(sorted(rows))
+        yield pa.RecordBatch.from_pylist([{"machine": model.table.astype("<f4").tobytes(), "bias": model.bias, "curve": model.curve.tolist()}])
+
+    made = sample.coalesce(1).mapInArrow(train, "machine binary, bias double, curve array<double>").first()
+    return Model(np.frombuffer(made["machine"], "<f4"), made["bias"], np.array(made["curve"])) if made else learn([])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
