@@ -38,8 +38,11 @@ def point_sources(objects: DataFrame, low: float = 21.0, high: float = 24.5) ->
 
 
 def null_model(lc: DataFrame) -> DataFrame:
-    """``object_id, n_obs, m_mean, rss_null``: weighted mean and weighted sum of squares about it, in two passes."""
-    w = lc.withColumn("w", 1 / F.greatest(F.col("magerr") * F.col("magerr"), F.lit(1e-30)))
+    """``object_id, n_obs, m_mean, rss_null``: weighted mean and weighted sum of squares about it, in two passes.
+
+    Rows without a finite magnitude or error do not count, nor do objects without any other row.
+    """
+    w = lc.where(finite(F.col("mag")) & finite(F.col("magerr"))).withColumn("w", 1 / F.greatest(F.col("magerr") * F.col("magerr"), F.lit(1e-30)))
     mean = w.groupBy("object_id").agg(F.count("*").alias("n_obs"), (F.sum(F.col("w") * F.col("mag")) / F.sum("w")).alias("m_mean"))
     d = F.col("mag") - F.col("m_mean")
     return w.join(mean, "object_id").groupBy("object_id", "n_obs", "m_mean").agg(F.sum(F.col("w") * d * d).alias("rss_null"))
@@ -54,6 +57,53 @@ def clean(fits: DataFrame) -> DataFrame:
     return fits.where(~F.col("flag_amp") & ~F.col("flag_depth"))
 
 
+def best_clean(fits: DataFrame, n: int = 15) -> DataFrame:
+    """The report's head: the ``n`` clean fits of least ``rss_frac`` (ties: the least object_id)."""
+    return clean(fits).orderBy("rss_frac", "object_id").limit(n)
+
+
+def best_observed(lc: DataFrame, n: int = 1) -> DataFrame:
+    """``object_id, n_good``: the ``n`` objects with most usable rows (ties: the least object_id)."""
+    good = lc.where(finite(F.col("mag")) & finite(F.col("magerr")))
+    return good.groupBy("object_id").agg(F.count("*").alias("n_good")).orderBy(F.desc("n_good"), "object_id").limit(n)
+
+
+def classification_features(fits: DataFrame, null_period: float = 0.5) -> DataFrame:
+    """Adds ``rss_dof`` (rss over n_obs - 4) and ``amp_rss`` (amplitude over it): what the classifier of fitted stars reads."""
+    dof = F.col("rss") / F.greatest(F.col("n_obs") - 4, F.lit(1))
+    return fits.withColumn("rss_dof", dof).withColumn("amp_rss", F.try_divide("A", "rss_dof"))
+
+
+def phase_concentration(lc: DataFrame, period: float | str) -> DataFrame:
+    """``object_id, r_bar, kappa``: how strongly observations gather at one phase of the period (a number or a column).
+
+    ``r_bar`` is the mean resultant length of the folded times; ``kappa`` the concentration of the von Mises distribution by
+    the usual rational approximation, r (2 - r^2) / (1 - r^2).  A high value warns of an alias of the sampling.
+    """
+    p = F.col(period) if isinstance(period, str) else F.lit(period)
+    angle = 2 * F.pi() * F.col("t") / p
+    sums = lc.groupBy("object_id").agg(F.avg(F.cos(angle)).alias("c"), F.avg(F.sin(angle)).alias("s"))
+    r = sums.select("object_id", F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("r_bar"))
+    return r.withColumn("kappa", F.try_divide(F.col("r_bar") * (2 - F.col("r_bar") * F.col("r_bar")), 1 - F.col("r_bar") * F.col("r_bar")))
+
+
+def colour_diagnostics(lc: DataFrame, templates: DataFrame, period: float) -> DataFrame:
+    """``band, obs_mean, beta, mu_implied`` (without reddening) for each band of a template at a period."""
+    from .photometry import polynomial
+    from .sizes import small
+
+    mean = lc.groupBy("band").agg(F.avg("mag").alias("obs_mean"))
+    x = mean.join(small(templates), "band").withColumn("beta", polynomial(F.col("c0"), F.col("p1"), F.col("p2"), F.lit(period)))
+    return x.select("band", "obs_mean", "beta", (F.col("obs_mean") - F.col("beta")).alias("mu_implied"))
+
+
+def colour_excess(diagnostics: DataFrame, blue: str = "g", red: str = "i") -> DataFrame:
+    """``observed, template, excess``: the colour blue - red of the rows of ``colour_diagnostics``; null where a band is missing."""
+    of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
+    x = diagnostics.agg((of("obs_mean", blue) - of("obs_mean", red)).alias("observed"), (of("beta", blue) - of("beta", red)).alias("template"))
+    return x.withColumn("excess", F.col("observed") - F.col("template"))
+
+
 def rejects(fits: DataFrame, ebv: float = 1.0, low: float = 0.3, high: float = 2.0, kappa: float = 5.0) -> DataFrame:
     """Fits that the documented limits on reddening, amplitude and kappa leave out (``kappa`` only where the column is there)."""
     out = (F.col("ebv") > ebv) | (F.col("A") < low) | (F.col("A") > high)

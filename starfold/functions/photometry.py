@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 MAX_ERROR = 0.2
 
 # Offsets of the constant term when templates move between filter systems, by band.
@@ -81,7 +83,7 @@ def distance_kpc(mu: Column) -> Column:
 
 def dereddened(lc: DataFrame, ebv: DataFrame, dust: DataFrame) -> DataFrame:
     """``mag_0`` = mag - E(B-V) of the object times the band's dust coefficient (no coefficient or no map value: unchanged)."""
-    return lc.join(ebv, "object_id", "left").join(F.broadcast(dust), "band", "left").withColumn("mag_0", F.col("mag") - F.coalesce(F.col("ebv") * F.col("dust"), F.lit(0.0))).drop("ebv", "dust")
+    return lc.join(ebv, "object_id", "left").join(small(dust), "band", "left").withColumn("mag_0", F.col("mag") - F.coalesce(F.col("ebv") * F.col("dust"), F.lit(0.0))).drop("ebv", "dust")
 
 
 def phase_fit(t, freq, phi) -> Column:

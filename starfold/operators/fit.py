@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.functions.photometry import phase_fit, polynomial
+from starfold.functions.sizes import small
 from starfold.schema import FIT, RSS_GRID
 
 from .grid import dealt
@@ -33,17 +34,17 @@ def weighted(lc: DataFrame) -> DataFrame:
 
 
 def on_template(lc: DataFrame, templates: DataFrame) -> DataFrame:
-    """Observations with their band of each template (a library is small and of bounded size); bands that it lacks fall away."""
-    return lc.join(F.broadcast(templates), "band")
+    """Observations with their band of each template (broadcast if the library is small); bands that it lacks fall away."""
+    return lc.join(small(templates), "band")
 
 
-def linear_step(points: DataFrame, keys: list[str]) -> DataFrame:
-    """``<keys>, n, mu, ebv, A, det`` from rows with ``w, y, d, g`` (y: magnitude less the band constant): weighted least squares of y on (1, d, g).
+def linear_step(points: DataFrame, keys: list[str], rss: bool = False) -> DataFrame:
+    """``<keys>, n, mu, ebv, A, det`` (and ``rss`` on demand) from rows with ``w, y, d, g`` (y: magnitude less the band constant): weighted least squares of y on (1, d, g).
 
     Nine grouped sums and Cramer's rule; singular systems (|det| below 1e-20) give null coefficients.
     """
     w, y, d, g = (F.col(c) for c in "wydg")
-    s = points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(e).alias(a) for a, e in {"s": w, "sd": w * d, "sg": w * g, "sdd": w * d * d, "sdg": w * d * g, "sgg": w * g * g, "sy": w * y, "sdy": w * d * y, "sgy": w * g * y}.items()))
+    s = points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(e).alias(a) for a, e in {"s": w, "sd": w * d, "sg": w * g, "sdd": w * d * d, "sdg": w * d * g, "sgg": w * g * g, "sy": w * y, "sdy": w * d * y, "sgy": w * g * y, "syy": w * y * y}.items()))
     c = F.col
     a = [[c("s"), c("sd"), c("sg")], [c("sd"), c("sdd"), c("sdg")], [c("sg"), c("sdg"), c("sgg")]]
     b = [c("sy"), c("sdy"), c("sgy")]
@@ -51,7 +52,10 @@ def linear_step(points: DataFrame, keys: list[str]) -> DataFrame:
     put = lambda k: [[b[r] if k == j else a[r][j] for j in range(3)] for r in range(3)]
     s = s.withColumn("det", det(a))
     one = lambda k: F.when(F.abs("det") >= SMALL, F.try_divide(det(put(k)), c("det")))
-    return s.select(*keys, "n", one(0).alias("mu"), one(1).alias("ebv"), one(2).alias("A"), "det")
+    out = s.withColumns({"mu": one(0), "ebv": one(1), "A": one(2)})
+    left = F.greatest(c("syy") - c("mu") * c("sy") - c("ebv") * c("sdy") - c("A") * c("sgy"), F.lit(0.0))
+    known = F.when(c("mu").isNotNull(), left)
+    return out.select(*keys, "n", "mu", "ebv", "A", "det", *([known.alias("rss")] if rss else []))
 
 
 def points_at(lc: DataFrame, templates: DataFrame, trials: DataFrame) -> DataFrame:
@@ -61,19 +65,17 @@ def points_at(lc: DataFrame, templates: DataFrame, trials: DataFrame) -> DataFra
     return x.withColumn("g", interpolated(F.col("gamma"), phase_fit(F.col("t"), F.col("freq"), F.col("phi")))).drop("gamma")
 
 
-def residuals(points: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """``<keys>, rss``: weighted squared residuals of rows under the fitted coefficients."""
-    r = F.col("y") - F.col("mu") - F.col("ebv") * F.col("d") - F.col("A") * F.col("g")
-    return points.join(fits.select(*keys, "mu", "ebv", "A"), keys).groupBy(*keys).agg(F.sum(F.col("w") * r * r).alias("rss"))
-
-
 def phase_grid(lc: DataFrame, templates: DataFrame, trials: DataFrame, phases: int) -> DataFrame:
-    """``object_id, template_id, k, period, phi, rss, mu, ebv, A``: the best of ``phases`` equal phase offsets at each trial, without iteration."""
+    """``object_id, template_id, k, period, phi, rss, mu, ebv, A``: the best of ``phases`` equal phase offsets at each trial, without iteration.
+
+    One pass over observation x trial: the residual follows from the grouped sums, rss = sum w y^2 - solution . moments,
+    taken about the object's mean magnitude so that little cancels.
+    """
     keys = ["object_id", "template_id", "k", "period", "phi"]
     each = trials.withColumn("phi", F.explode(F.array(*(F.lit(i / phases) for i in range(phases)))))
-    points = points_at(lc, templates, each)
-    fits = linear_step(points, keys)
-    both = fits.join(residuals(points, fits, keys), keys)
+    mean = lc.groupBy("object_id").agg(F.avg("mag").alias("_mean"))
+    points = points_at(lc, templates, each.join(mean, "object_id")).withColumn("y", F.col("y") - F.col("_mean"))
+    both = linear_step(points, [*keys, "_mean"], rss=True).withColumn("mu", F.col("mu") + F.col("_mean"))
     best = F.min(F.struct("rss", "phi", "mu", "ebv", "A")).alias("_b")
     return both.where("rss is not null").groupBy(*keys[:-1]).agg(best).select(*keys[:-1], *(F.col(f"_b.{c}").alias(c) for c in ("phi", "rss", "mu", "ebv", "A")))
 

@@ -12,6 +12,16 @@ def best_period(psi: DataFrame, value: str = "psi", keys: list[str] = ["object_i
     return psi.groupBy(*keys).agg(top).select(*keys, F.col("_b.period").alias("period"), F.col(f"_b.{value}").alias(value))
 
 
+def highest(psi: DataFrame) -> DataFrame:
+    """The highest trial period of every object, in the columns of ``top_periods``."""
+    w = Window.partitionBy("object_id").orderBy("k")
+    x = psi.withColumn("_p", F.coalesce(F.lead("period").over(w), F.col("period")))
+    top = F.max(F.struct("psi", (-F.col("k")).alias("k"), "period", "freq", "_p")).alias("_b")
+    x = x.groupBy("object_id").agg(top).select("object_id", "_b.*")
+    err = F.abs(F.col("period") - F.col("_p")) / 2
+    return x.select("object_id", F.lit(1).alias("rank"), "period", err.alias("period_err"), F.col("psi").alias("power"), (-F.col("k")).alias("index"), "freq", F.lit(0.0).alias("thresh"))
+
+
 def top_periods(psi: DataFrame, n: int = 10, keys: list[str] = ["object_id"], strict: bool = False) -> DataFrame:  # noqa: B006
     """``<keys>, rank, period, period_err, power, index, freq, thresh``: the n highest strict local maxima, ends left out.
 

@@ -44,8 +44,21 @@ class Job:
 
 def period_search(lc: DataFrame, pmin: float, dphi: float, pmax: float | None = None, runs: int = 0, n: int = 10, seed: int = 0) -> DataFrame:
     """Ranked candidate periods of every object from psi summed over bands; with ``runs`` also their significance level."""
-    psi = periodogram.threshold(lc, pmin, dphi, pmax, runs, seed) if runs else periodogram.hybrid(lc, pmin, dphi, pmax)
-    return peaks.top_periods(periodogram.combined(psi), n)
+    if not runs:
+        return periodogram.search(lc, pmin, dphi, pmax, n)
+    return peaks.top_periods(periodogram.combined(periodogram.threshold(lc, pmin, dphi, pmax, runs, seed)), n)
+
+
+def recovery_study(spark, trials: DataFrame, library: list[Template], n_obs: int = 30, noise: float = 0.05, span: float = 180.0, seed: int = 0, blocks: int = 8, **how) -> DataFrame:
+    """``trial, template_id, rss, period, truth_id, period_true``: simulate each trial, then fit it by the whole library.
+
+    ``trials`` has ``trial, template_id, period``; what ``excess``, ``competitive_counts`` and ``loo_union`` work on.
+    """
+    from starfold.operators.library import simulate
+
+    found = fits.fit(simulate(spark, trials, library, n_obs, noise, span, seed=seed), library, blocks=blocks, **how)
+    truth = trials.select("trial", F.col("template_id").alias("truth_id"), F.col("period").alias("period_true"))
+    return found.select(F.col("object_id").alias("trial"), "template_id", "rss", "period").join(truth, "trial")
 
 
 def catalog_fit(flux: DataFrame, template: Template, bands: list[str], least: int = 10, **how) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starfold import schema
 from starfold.functions import features, photometry
 from starfold.operators import fit, grid, library, peaks, periodogram, templates
 from starfold.plans import pipelines
+from starfold.sources import lightcurves as sources
 from starfold.sources.lightcurves import lc_events, lc_lineitem, nest, of_class, unnest
 
 PMIN, DPHI = 0.5, 0.25  # of verified periodograms
@@ -18,7 +24,6 @@ PLAIN = templates.synthetic("plain", BANDS3, 8, 0.1, dusty=False)
 LIBRARY = [
     templates.synthetic(f"t{i}", BANDS3 if i % 3 else BANDS3[:2], 8 if i % 4 else 12, round(0.05 * i - 0.1, 3), dusty=False) for i in range(8)
 ]
-TRUTH = [(k, f"t{k % 8}") for k in range(24)]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -245,12 +250,24 @@ def psi_multiband(spark, sf):
     return rounded(periodogram.combined(periodogram.hybrid(_lc(spark, sf), PMIN, DPHI)).select("object_id", "k", "psi"), "psi")
 
 
-@query(f"WITH {LC}, {GOOD}, {SPAN}, {_grid()}, {STATS}, {POWER}, tot AS (SELECT object_id, k, period, sum(power) AS power FROM power GROUP BY 1, 2, 3) SELECT object_id, round(arg_max(period, (power, -k)), 6) AS period, {r6('max(power)')} AS power FROM tot GROUP BY 1")
+@query(f"{SEARCH} SELECT object_id, {r6('arg_max(period, (psi, -k))')} AS period, {r6('max(psi)')} AS psi FROM multi GROUP BY 1")
 def best_period(spark, sf):
+    best = periodogram.search(_lc(spark, sf), PMIN, DPHI, n=0)
+    return rounded(best.select("object_id", "period", F.col("power").alias("psi")), "period", "psi")
+
+
+@query(f"WITH {LC}, {GOOD}, {SPAN}, {_grid()}, {STATS}, {POWER}, tot AS (SELECT object_id, k, period, sum(power) AS power FROM power GROUP BY 1, 2, 3) SELECT object_id, round(arg_max(period, (power, -k)), 6) AS period, {r6('max(power)')} AS power FROM tot GROUP BY 1")
+def best_period_power(spark, sf):
     power = periodogram.hybrid(_lc(spark, sf), PMIN, DPHI, theta=False)
     return rounded(peaks.best_period(power.groupBy("object_id", "k", "period").agg(F.sum("power").alias("power")), "power"), "period", "power")
 
 
+@query()
+def period_search(spark, sf):
+    """The search as users call it, over the production grid."""
+    return pipelines.period_search(_lc(spark, sf), *PRODUCTION)
+
+
 @query(f"""{SEARCH}, lm AS (SELECT *, lag(psi) OVER w AS a, lead(psi) OVER w AS b, lead(period) OVER w AS p2 FROM multi WINDOW w AS (PARTITION BY object_id ORDER BY k)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY psi DESC, k) AS rank FROM lm WHERE psi > a AND psi > b)
 SELECT object_id, rank::INT AS rank, {r6('period')} AS period, {r6('abs(period - p2) / 2')} AS period_err, {r6('psi')} AS power, k AS "index", {r6('freq')} AS freq, 0.0::DOUBLE AS thresh FROM rk WHERE rank <= 5""")
@@ -433,10 +450,10 @@ def unnest_sources(spark, sf):
     return rounded(unnest(_nested(spark, sf)).select("object_id", "row_id", "band", "t", "mag"), "t")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE coalesce(contains(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END, 'URGENT'), FALSE)")
+@query("SELECT o_orderkey AS id FROM orders WHERE contains(o_orderpriority, 'URGENT')")
 def struct_class_filter(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return of_class(o.select(F.col("o_orderkey").alias("id"), F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("vsx_Type")).alias("xm")), "xm.vsx_Type", "URGENT").select("id")
+    return of_class(o.select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderpriority").alias("vsx_Type")).alias("xm")), "xm.vsx_Type", "URGENT").select("id")
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "5-LOW")
@@ -483,10 +500,7 @@ def color_cut(spark, sf):
 
 @query(f"WITH {LC}, {TPL} SELECT band, {r6('avg(mag)')} AS obs_mean, {r6('c0 + p1 * 0.6::DOUBLE + p2 * 0.6::DOUBLE * 0.6::DOUBLE')} AS beta, {r6('avg(mag) - (c0 + p1 * 0.6::DOUBLE + p2 * 0.6::DOUBLE * 0.6::DOUBLE)')} AS mu_implied FROM lc JOIN tpl USING (band) GROUP BY band, c0, p1, p2")
 def color_diagnostics(spark, sf):
-    mean = _lc(spark, sf).groupBy("band").agg(F.avg("mag").alias("obs_mean"))
-    beta = photometry.polynomial(F.col("c0"), F.col("p1"), F.col("p2"), F.lit(0.6))
-    x = mean.join(F.broadcast(templates.frame(spark, [DUSTY])), "band").withColumn("beta", beta)
-    return rounded(x.select("band", "obs_mean", "beta", (F.col("obs_mean") - F.col("beta")).alias("mu_implied")), "obs_mean", "beta", "mu_implied")
+    return rounded(features.colour_diagnostics(_lc(spark, sf), templates.frame(spark, [DUSTY]), 0.6), "obs_mean", "beta", "mu_implied")
 
 
 # ---- library analysis
@@ -612,20 +626,45 @@ def mc_threshold(spark, sf):
     return periodogram.threshold(_lc(spark, sf), *PRODUCTION, runs=2, seed=1)
 
 
-@query()
+DIGEST = "md5('3:' || row_id::VARCHAR)"
+
+
+@query(f"WITH {LC}, a AS (SELECT *, row_number() OVER (PARTITION BY object_id, band ORDER BY t, row_id) AS i FROM lc), b AS (SELECT object_id, band, mag AS mag_scrambled, row_number() OVER (PARTITION BY object_id, band ORDER BY {DIGEST}, row_id) AS i FROM lc) SELECT object_id, row_id, band, mag, mag_scrambled FROM a JOIN b USING (object_id, band, i)")
 def scramble(spark, sf):
     return periodogram.scrambled(_lc(spark, sf), 3).select("object_id", "row_id", "band", "mag", "mag_scrambled")
 
 
-@query()
+@query(f"WITH {LC}, a AS (SELECT *, ('0x' || substr({DIGEST}, 1, 8))::BIGINT % count(*) OVER (PARTITION BY object_id, band) + 1 AS i FROM lc), b AS (SELECT object_id, band, mag AS mag_bootstrap, row_number() OVER (PARTITION BY object_id, band ORDER BY t, row_id) AS i FROM lc) SELECT object_id, row_id, band, mag_bootstrap FROM a JOIN b USING (object_id, band, i)")
 def bootstrap(spark, sf):
     return periodogram.bootstrapped(_lc(spark, sf), 3).select("object_id", "row_id", "band", "mag_bootstrap")
 
 
-@query()
+def _uniform(what: str) -> str:
+    return f"((('0x' || substr(md5('5:' || trial || ':' || b || ':' || j || ':{what}'), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE)"
+
+
+SIM = f"""{LIB}, tr AS (SELECT i AS trial, 't' || (i % 8) AS template_id, 0.45::DOUBLE + 0.01::DOUBLE * i AS period FROM range(0, 24) r(i)),
+nb AS (SELECT template_id, count(*) AS nb FROM lib GROUP BY 1),
+ob AS (SELECT trial, period, band, gamma, bidx AS b, unnest(range(0, 30 // nb + (bidx < 30 % nb)::INT)) AS j FROM tr JOIN lib USING (template_id) JOIN nb USING (template_id)),
+dr AS (SELECT *, 180.0::DOUBLE * {_uniform('t')} AS t, sqrt(-2 * ln({_uniform('r')})) * cos({2 * math.pi!r}::DOUBLE * {_uniform('a')}) AS z FROM ob)"""
+
+
+def _truth(spark):
+    return spark.range(24).select(F.col("id").alias("trial"), F.concat(F.lit("t"), (F.col("id") % 8).cast("string")).alias("template_id"), (F.lit(0.45) + F.lit(0.01) * F.col("id")).alias("period"))
+
+
+@query(f"WITH {SIM} SELECT trial AS object_id, row_number() OVER (PARTITION BY trial ORDER BY t, b, j) - 1 AS row_id, {r6('t')} AS t, band, {r6('20.0::DOUBLE + 1.0::DOUBLE * gamma[floor((t / period - floor(t / period)) * len(gamma))::BIGINT % len(gamma) + 1] + 0.05::DOUBLE * z')} AS mag FROM dr")
 def simulate_lc(spark, sf):
-    trials = spark.createDataFrame([(k, t, 0.45 + 0.01 * k) for k, t in TRUTH], "trial long, template_id string, period double")
-    return library.simulate(spark, trials, LIBRARY, seed=5)
+    made = library.simulate(spark, _truth(spark), LIBRARY, seed=5)
+    return rounded(made.drop("magerr"), "t", "mag")
+
+
+@query()
+def recovery_study(spark, sf):
+    """Simulate, fit by the whole library on the production grid, and what leaving half of the library out costs."""
+    rss = pipelines.recovery_study(spark, _truth(spark), LIBRARY, blocks=4, pmin=0.4, dphi=0.02, pmax=0.75)
+    some = spark.createDataFrame([("t1",), ("t3",), ("t5",), ("t7",)], "template_id string")
+    return library.excess(rss, some).join(library.competitive_counts(rss), "trial")
 
 
 @query()
@@ -648,3 +687,193 @@ def rf_classify(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)), (F.col("label") % 2).cast("double").alias("label"))
     model, _ = library.classify(v, [f"x{i}" for i in range(8)])
     return model.transform(v).select("vec_id", "prediction")
+
+
+# ---- further operators of the inventory
+
+
+@query(f"WITH {EMB}, e AS (SELECT unnest(range(0, len(vec))) AS i, unnest(vec) AS x FROM v), s AS (SELECT var_samp(x) AS s FROM e GROUP BY i) SELECT count(*) AS n, {r6('sum(s)')} AS total, 1.0::DOUBLE AS cumulative FROM s")
+def pca_total(spark, sf):
+    """The eigenvalues add up to the variances of all coordinates."""
+    x = library.principal(_vecs(spark, sf))
+    return rounded(x.agg(F.count("*").alias("n"), F.sum("eigenvalue").alias("total"), F.max("cumulative").alias("cumulative")), "total", "cumulative")
+
+
+FITS = """ft AS (SELECT c_custkey AS object_id, abs(c_acctbal::DOUBLE) / 5000 AS A, 1 - c_nationkey / 30.0::DOUBLE AS rss_depth, (1 + c_custkey % 97) / 97.0::DOUBLE AS rss_frac,
+  c_custkey % 7 / 5.0::DOUBLE AS ebv, c_custkey % 11 / 2.0::DOUBLE AS kappa, 0.2::DOUBLE + c_custkey % 80 / 100.0::DOUBLE AS period, c_mktsegment AS kind, 4 + c_custkey % 40 AS n_obs, 1 + abs(c_acctbal::DOUBLE) AS rss FROM customer)"""
+
+
+def _fits(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    key, money = F.col("c_custkey"), F.abs(F.col("c_acctbal").cast("double"))
+    return c.select(
+        key.alias("object_id"), (money / 5000).alias("A"), (1 - F.col("c_nationkey") / F.lit(30.0)).alias("rss_depth"), ((1 + key % 97) / F.lit(97.0)).alias("rss_frac"), (key % 7 / F.lit(5.0)).alias("ebv"),
+        (key % 11 / F.lit(2.0)).alias("kappa"), (F.lit(0.2) + key % 80 / F.lit(100.0)).alias("period"), F.col("c_mktsegment").alias("kind"), (4 + key % 40).alias("n_obs"), (1 + money).alias("rss"),
+    )
+
+
+FLAGGED = FITS + ", fl AS (SELECT *, NOT (abs(A) BETWEEN 0.3::DOUBLE AND 1.5::DOUBLE) AS flag_amp, rss_depth < 0.5 AS flag_depth FROM ft)"
+
+
+@query(f"WITH {FLAGGED} SELECT object_id, {r6('A')} AS A FROM fl WHERE NOT flag_amp AND NOT flag_depth")
+def clean_set(spark, sf):
+    return rounded(features.clean(features.quality_flags(_fits(spark, sf))).select("object_id", "A"), "A")
+
+
+@query(f"WITH {FLAGGED} SELECT object_id, {r6('rss_frac')} AS rss_frac FROM fl WHERE NOT flag_amp AND NOT flag_depth ORDER BY fl.rss_frac, object_id LIMIT 15")
+def clean_head(spark, sf):
+    return rounded(features.best_clean(features.quality_flags(_fits(spark, sf))).select("object_id", "rss_frac"), "rss_frac")
+
+
+@query(f"WITH {FITS} SELECT object_id FROM ft WHERE ebv > 1.0 OR A < 0.3::DOUBLE OR A > 2.0 OR kappa > 5.0")
+def documented_rejects(spark, sf):
+    return features.rejects(_fits(spark, sf)).select("object_id")
+
+
+@query(f"WITH {FITS}, c AS (SELECT *, period > 0.4::DOUBLE AND period < 0.9::DOUBLE AS ab, period > 0.25::DOUBLE AND period < 0.45::DOUBLE AS c FROM ft) SELECT object_id, CASE WHEN ab AND c THEN kind WHEN ab THEN 'RRab' WHEN c THEN 'RRc' END AS class FROM c")
+def period_class(spark, sf):
+    return _fits(spark, sf).select("object_id", features.period_class(F.col("period"), F.col("kind")).alias("class"))
+
+
+@query(f"WITH {FITS} SELECT object_id, {r6('rss / greatest(n_obs - 4, 1)')} AS rss_dof, round(A / (rss / greatest(n_obs - 4, 1)), 9) + 0.0 AS amp_rss FROM ft")
+def fit_features(spark, sf):
+    x = features.classification_features(_fits(spark, sf)).select("object_id", "rss_dof", "amp_rss")
+    return rounded(rounded(x, "rss_dof"), "amp_rss", to=9)
+
+
+@query(f"WITH {TRIAL} SELECT object_id, template_id, abs(period - (0.4::DOUBLE + object_id % 50 / 100.0::DOUBLE)) < 0.105::DOUBLE AS correct FROM tr")
+def period_correct(spark, sf):
+    x = _trials(spark, sf).withColumn("period_true", F.lit(0.4) + F.col("object_id") % 50 / F.lit(100.0))
+    return peaks.period_correct(x, 0.105).select("object_id", "template_id", "correct")
+
+
+@query(f"WITH {LC}, o AS (SELECT object_id, count(*) AS n_good FROM lc GROUP BY 1) SELECT * FROM o ORDER BY n_good DESC, object_id LIMIT 1")
+def best_observed(spark, sf):
+    return features.best_observed(_lc(spark, sf))
+
+
+@query(f"WITH {LC}, a AS (SELECT object_id, sqrt(avg(cos({2 * math.pi!r}::DOUBLE * t / 0.7::DOUBLE)) ** 2 + avg(sin({2 * math.pi!r}::DOUBLE * t / 0.7::DOUBLE)) ** 2) AS r FROM lc GROUP BY 1) SELECT object_id, {r6('r')} AS r_bar, {r6('r * (2 - r * r) / (1 - r * r)')} AS kappa FROM a")
+def phase_concentration(spark, sf):
+    return rounded(features.phase_concentration(_lc(spark, sf), 0.7), "r_bar", "kappa")
+
+
+@query(f"WITH {LC}, {TPL}, d AS (SELECT band, avg(mag) AS m, c0 + p1 * 0.6::DOUBLE + p2 * 0.6::DOUBLE * 0.6::DOUBLE AS beta FROM lc JOIN tpl USING (band) GROUP BY band, c0, p1, p2), x AS (SELECT max(m) FILTER (band = 'click') - max(m) FILTER (band = 'view') AS o, max(beta) FILTER (band = 'click') - max(beta) FILTER (band = 'view') AS t FROM d) SELECT {r6('o')} AS observed, {r6('t')} AS template, {r6('o - t')} AS excess FROM x")
+def color_excess(spark, sf):
+    x = features.colour_diagnostics(_lc(spark, sf), templates.frame(spark, [DUSTY]), 0.6)
+    return rounded(features.colour_excess(x, "click", "view"), "observed", "template", "excess")
+
+
+@query(f"WITH {LC}, {SPAN} SELECT object_id, i - 1 AS k, {r6('1 / period')} AS freq, period FROM span, (VALUES (1, 0.4::DOUBLE), (2, 0.55::DOUBLE), (3, 0.7::DOUBLE)) v(i, period)")
+def period_grid_explicit(spark, sf):
+    return rounded(grid.explicit_grid(grid.spans(_lc(spark, sf)), [0.4, 0.55, 0.7]).select("object_id", "k", "freq", "period"), "freq")
+
+
+@query(f"WITH {LC}, s AS (SELECT object_id, list_sort(list(DISTINCT band)) AS b FROM lc GROUP BY 1) SELECT object_id, array_to_string(list_filter(b, lambda x: x NOT IN {BANDS3}), ',') AS bands FROM s WHERE len(list_filter(b, lambda x: x NOT IN {BANDS3})) > 0")
+def unknown_bands(spark, sf):
+    x = templates.unknown_bands(_lc(spark, sf), DUSTY)
+    return x.select("object_id", F.array_join(F.sort_array("bands"), ",").alias("bands"))
+
+
+@query(f"WITH {LIB}, s AS (SELECT template_id AS id, flatten(list(gamma ORDER BY band)) AS vec FROM lib GROUP BY 1) SELECT id, i, {r6('vec[i + 1]')} AS v FROM (SELECT *, unnest(range(0, len(vec))) AS i FROM s)")
+def library_vectors(spark, sf):
+    x = library.vectors(templates.frame(spark, LIBRARY)).select("id", F.posexplode("vec").alias("i", "v"))
+    return rounded(x.withColumn("i", F.col("i").cast("long")), "v")
+
+
+def _kept(spark, name: str) -> str:
+    """A folder for what a round trip writes: under the shared folder of the session where it has one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="starfold-")
+    return f"{root.rstrip('/')}/starfold-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {LC} SELECT object_id, row_id, {r6('t')} AS t, band, mag, {r6('magerr')} AS magerr FROM lc")
+def csv_round_trip(spark, sf):
+    path = _kept(spark, "csv")
+    sources.write_csv(_lc(spark, sf), path)
+    return rounded(spark.read.option("header", True).schema(schema.LIGHT_CURVE).csv(path), "t", "magerr")
+
+
+@query(f"WITH {LC} SELECT object_id, band, count(*) AS n, {r6('avg(mag)')} AS mean FROM lc GROUP BY 1, 2")
+def catalog_round_trip(spark, sf):
+    """A catalog partitioned by directory, read back with the columns that are asked for."""
+    path = _kept(spark, "catalog")
+    _lc(spark, sf).write.partitionBy("band").parquet(path)
+    x = sources.read_catalog(spark, path, ["object_id", "band", "mag"])
+    return rounded(x.groupBy("object_id", "band").agg(F.count("*").alias("n"), F.avg("mag").alias("mean")), "mean")
+
+
+CODES = {b: i for i, b in enumerate(("cart", "click", "login", "purchase", "view"))}
+
+
+@query(f"WITH {LC} SELECT 0::BIGINT AS object_id, {r6('t')} AS t, band, mag, {r6('magerr')} AS magerr FROM lc WHERE band IN {tuple(CODES)}")
+def text_round_trip(spark, sf):
+    """White-space columns with band codes, as the instrument's files have them."""
+    path = _kept(spark, "text")
+    code = F.create_map(*(F.lit(x) for p in CODES.items() for x in p))[F.col("band")]
+    lines = _lc(spark, sf).where(F.col("band").isin(*CODES)).select(F.concat_ws("  ", "t", "mag", "magerr", code.cast("double")).alias("value"))
+    lines.write.text(path)
+    return rounded(sources.read_text(spark, path, list(CODES)).drop("row_id"), "t", "magerr")
+
+
+@query(f"WITH {FITS} SELECT object_id, {r6('rss_frac')} AS rss_frac, {r6('A')} AS A FROM ft")
+def candidate_sink(spark, sf):
+    path = _kept(spark, "candidates")
+    sources.write_candidates(_fits(spark, sf), path)
+    return rounded(spark.read.parquet(path).select("object_id", "rss_frac", "A"), "rss_frac", "A")
+
+
+@query(f"WITH {FITS} SELECT object_id, {r6('period')} AS period FROM ft")
+def checkpoint_reuse(spark, sf):
+    """The second call reads what the first has written."""
+    path = _kept(spark, "checkpoint")
+    sources.checkpointed(_fits(spark, sf).select("object_id", "period"), path)
+    return rounded(sources.checkpointed(_fits(spark, sf).select("object_id", "period").where("false"), path), "period")
+
+
+TEXTS = [f"b{i}.txt" for i in range(3)]
+
+
+def _lines(spark):
+    """Three template texts in odd orders of columns and rows, with a short line and a phase past the cycle, made from the library."""
+    x = templates.frame(spark, LIBRARY[:3]).select("template_id", "band", F.posexplode("gamma").alias("i", "v"), F.size("gamma").alias("n"))
+    rows = x.select("template_id", F.concat_ws(",", F.col("band"), F.col("v"), F.col("i") / F.col("n")).alias("line"), F.xxhash64("band", "i").alias("o"))
+    extra = spark.createDataFrame([(t.name, line, o) for t in LIBRARY[:3] for line, o in (("short", 1), ("click,9.0,1.5", 2))], "template_id string, line string, o long")
+    place = F.row_number().over(Window.partitionBy("template_id").orderBy("o"))
+    heads = spark.createDataFrame([(t.name, 0, "Band, MAG ,phase") for t in LIBRARY[:3]], "template_id string, place int, line string")
+    return heads.unionByName(rows.unionByName(extra).select("template_id", place.alias("place"), "line"))
+
+
+@query(f"WITH lib(template_id, band, bidx, gamma, dust, c0, p1, p2) AS (VALUES {_rows(LIBRARY[:3])}) SELECT template_id, band, i, {r6(interp('gamma', 'i / 20.0::DOUBLE'))} AS g FROM lib, range(0, 20) r(i)")
+def template_text(spark, sf):
+    good, _ = templates.from_lines(_lines(spark), 20)
+    x = good.select("template_id", "band", F.posexplode("gamma").alias("i", "g"))
+    return rounded(x.withColumn("i", F.col("i").cast("long")), "g")
+
+
+@query(f"WITH {TPL} SELECT band, bidx, {r6('dust')} AS dust, {r6('c0')} AS c0, {r6('p1')} AS p1, {r6('p2')} AS p2, gamma[3] AS g FROM tpl")
+def template_csv(spark, sf):
+    """A template folder of three CSV files, written from a template and loaded back."""
+    path = _kept(spark, "rr")
+    t = DUSTY
+    texts = {
+        "templates.csv": [",".join([b, *map(str, t.gamma[i])]) for i, b in enumerate(t.bands)],
+        "dust.csv": [f"'{b}', {t.dust[i]}" for i, b in enumerate(t.bands)],
+        "betas.csv": [",".join(t.bands), *(",".join(str(t.betas[i, k]) for i in range(len(t.bands))) for k in range(3))],
+    }
+    for name, lines in texts.items():
+        spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(f"{path}/{name}")
+    x = templates.load_csv(spark, path).select("band", "bidx", "dust", "c0", "p1", "p2", F.get("gamma", F.lit(2)).alias("g"))
+    return rounded(x, "dust", "c0", "p1", "p2")
+
+
+@query()
+def catalog_fit(spark, sf):
+    """The catalog call: fluxes to magnitudes, cuts, and one template's fit over the production grid."""
+    lc = _lc(spark, sf)
+    flux = F.pow(F.lit(10.0), (F.lit(31.4) - F.col("mag")) / 2.5)
+    rows = lc.withColumn("flux", flux).withColumn("flux_err", F.col("flux") * F.col("magerr") * (math.log(10) / 2.5)).drop("mag", "magerr")
+    return pipelines.catalog_fit(rows, PLAIN, list(BANDS3), pmin=0.44, pmax=0.89).drop("mu_band")

@@ -42,4 +42,4 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["object_id", "period", "power"]
+    assert entry.entry(spark).columns == ["object_id", "period", "psi"]
