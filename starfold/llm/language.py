@@ -198,9 +198,11 @@ def familiar(model: Model, texts: list[str | None]) -> list[bool]:
     known = model.allowed.any(1) if model.languages else np.ones(N_SCRIPTS, bool)
     out = []
     for a, b in shared.pieces(texts):
-        codes, _, starts, ends, text, _ = words_of([t or "" for t in texts[a:b]])
-        size, ok = ends - starts, known[tables()[1][codes[starts]]]
-        all_, own = (np.bincount(text, weights=w, minlength=b - a) for w in (size, size * ok))
+        some = [t or "" for t in texts[a:b]]
+        codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        letter = tables()[2][codes]
+        ends = np.cumsum([len(t) for t in some])
+        all_, own = (np.diff(np.concatenate([[0], np.cumsum(w)])[np.concatenate([[0], ends])]) for w in (letter, letter & known[tables()[1][codes]]))
         out += ((all_ > 0) & (2 * own >= all_)).tolist()
     return out
 
