@@ -35,7 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     shared.small_batches(spark, rows=1000, bytes_="8m")
     own = "_starfold_lang"
-    kept = docs.withColumn(own, found(F.coalesce("text", F.lit("")))).where(F.col(own).isNotNull())
+    once = found.asNondeterministic()  # or the filter and the column would each label every text
+    kept = docs.withColumn(own, once(F.coalesce("text", F.lit("")))).where(F.col(own).isNotNull())
     name = F.coalesce("lang", F.when(F.col(own) != "und", F.col(own)))
     return kept.withColumn("lang", name).drop(own)
 
