@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -259,10 +260,16 @@ class Bpe:
     def learn(self, missing: list[str]) -> None:
         """Put words into the cache."""
         if self.library is not None:
-            tokenize, of_bytes = self.library.model.tokenize, dict(enumerate(self.alphabet))
+            tokenize, of_bytes, space = self.library.model.tokenize, dict(enumerate(self.alphabet)), self.alphabet[32]
+            kind = "H" if self.dtype.itemsize == 2 else "I"
             for w in missing:
-                made = tokenize(w.encode().decode("latin-1").translate(of_bytes))
-                self.cache[w] = np.array([t.id for t in made], self.dtype).tobytes()
+                if w.isascii() and w.isalnum():  # printable bytes stand for themselves
+                    made = tokenize(w)
+                elif w[0] == " " and w.isascii() and w[1:].isalnum():
+                    made = tokenize(space + w[1:])
+                else:
+                    made = tokenize(w.encode().decode("latin-1").translate(of_bytes))
+                self.cache[w] = array(kind, [t.id for t in made]).tobytes()
             return
         short = []
         for w in missing:
