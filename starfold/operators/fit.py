@@ -19,7 +19,7 @@ from starfold.schema import FIT, RSS_GRID
 from .grid import dealt
 from .templates import Template, interpolated
 
-CELLS = 1 << 20  # (trial period x start x observation) cells held at once
+CELLS = 1 << 18  # (trial period x start x observation) cells held at once
 SMALL = 1e-20
 
 
@@ -137,6 +137,22 @@ def interpolate(gamma: np.ndarray, band: np.ndarray, phase: np.ndarray) -> np.nd
     return (1 - frac) * gamma[band, lo] + frac * gamma[band, (lo + 1) % n]
 
 
+class Curves:
+    """Template values and slopes of observations at many phases: both from one index into flat tables."""
+
+    def __init__(self, tpl: Template, band: np.ndarray):
+        self.n = tpl.gamma.shape[1]
+        self.tables = [(ext.ravel(), np.diff(ext, axis=1, append=0.0).ravel()) for v in (tpl.gamma, tpl.slopes()) for ext in [np.concatenate([v, v[:, :1]], 1)]]
+        self.offset = band * (self.n + 1)
+
+    def at(self, phase: np.ndarray, slopes: bool = True) -> list[np.ndarray]:
+        x = (phase - np.floor(phase)) * self.n
+        low = x.astype(np.int64)
+        x -= low
+        low += self.offset
+        return [value.take(low) + x * step.take(low) for value, step in self.tables[: 1 + slopes]]
+
+
 def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Solutions of many symmetric 3 x 3 systems, and which of them are regular."""
     det = np.linalg.det(a)
@@ -153,15 +169,14 @@ def fit_dusty(t, mag, w, band, tpl: Template, freq, newton=5, phi0=None, sign=1.
     period = 1 / freq
     beta = tpl.betas[band, 0] + tpl.betas[band, 1] * period[:, None] + tpl.betas[band, 2] * period[:, None] ** 2
     y = (mag - beta)[:, None, :]
-    d, slopes = tpl.dust[band], tpl.slopes()
+    d, curves = tpl.dust[band], Curves(tpl, band)
     phi = phi0.copy()
     coef = np.zeros((*phi.shape, 3))
     live = np.ones(phi.shape, bool)
     turn = (freq[:, None] * t)[:, None, :]
     ones = np.broadcast_to(w, turn.shape)
     for _ in range(newton):
-        phase = turn + phi[..., None]
-        g = interpolate(tpl.gamma, band, phase)
+        g, s = curves.at(turn + phi[..., None])
         wg, wd = ones * g, ones * d
         a = np.empty((*phi.shape, 3, 3))
         a[..., 0, 0], a[..., 0, 1], a[..., 0, 2] = w.sum(), (w * d).sum(), wg.sum(-1)
@@ -172,11 +187,11 @@ def fit_dusty(t, mag, w, band, tpl: Template, freq, newton=5, phi0=None, sign=1.
         live &= ok
         coef = np.where(live[..., None], new, coef)
         res = y - coef[..., :1] - coef[..., 1:2] * d - coef[..., 2:] * g
-        slope = coef[..., 2:] * interpolate(slopes, band, phase)
+        slope = coef[..., 2:] * s
         down = (w * slope * slope).sum(-1)
         move = live & (np.abs(down) > SMALL)
         phi = np.where(move, (phi + sign * (w * res * slope).sum(-1) / np.where(move, down, 1)) % 1.0, phi)
-    g = interpolate(tpl.gamma, band, turn + phi[..., None])
+    g = curves.at(turn + phi[..., None], False)[0]
     rss = (w * (y - coef[..., :1] - coef[..., 1:2] * d - coef[..., 2:] * g) ** 2).sum(-1)
     s = rss.argmin(1)
     k = np.arange(len(freq))
@@ -189,23 +204,22 @@ def fit_offsets(t, mag, w, band, tpl: Template, freq, newton=5, phi0=None, sign=
     member = (band[:, None] == np.arange(n_b)).astype(float)
     wb = w @ member
     has = wb > 0
-    slopes = tpl.slopes()
+    curves = Curves(tpl, band)
     phi = phi0.copy()
     amp = np.ones(phi.shape)
     mu = np.zeros((*phi.shape, n_b))
     turn = (freq[:, None] * t)[:, None, :]
     for _ in range(newton):
-        phase = turn + phi[..., None]
-        g = interpolate(tpl.gamma, band, phase)
+        g, s = curves.at(turn + phi[..., None])
         mu = ((w * (mag - amp[..., None] * g)) @ member) / np.where(has, wb, 1)
         left = mag - mu[..., band]
         down = (w * g * g).sum(-1)
         amp = np.where(down > SMALL, (w * left * g).sum(-1) / np.where(down > SMALL, down, 1), amp)
-        slope = amp[..., None] * interpolate(slopes, band, phase)
+        slope = amp[..., None] * s
         down = (w * slope * slope).sum(-1)
         move = np.abs(down) > SMALL
         phi = np.where(move, (phi + sign * (w * (left - amp[..., None] * g) * slope).sum(-1) / np.where(move, down, 1)) % 1.0, phi)
-    g = interpolate(tpl.gamma, band, turn + phi[..., None])
+    g = curves.at(turn + phi[..., None], False)[0]
     rss = (w * (mag - mu[..., band] - amp[..., None] * g) ** 2).sum(-1)
     s = rss.argmin(1)
     k = np.arange(len(freq))
