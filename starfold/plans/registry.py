@@ -735,10 +735,10 @@ def period_class(spark, sf):
     return _fits(spark, sf).select("object_id", features.period_class(F.col("period"), F.col("kind")).alias("class"))
 
 
-@query(f"WITH {FITS} SELECT object_id, {r6('rss / greatest(n_obs - 4, 1)')} AS rss_dof, round(A / (rss / greatest(n_obs - 4, 1)), 9) + 0.0 AS amp_rss FROM ft")
+@query(f"WITH {FITS} SELECT object_id, round(rss / greatest(n_obs - 4, 1), 9) + 0.0 AS rss_dof, round(A / (rss / greatest(n_obs - 4, 1)), 9) + 0.0 AS amp_rss FROM ft")
 def fit_features(spark, sf):
     x = features.classification_features(_fits(spark, sf)).select("object_id", "rss_dof", "amp_rss")
-    return rounded(rounded(x, "rss_dof"), "amp_rss", to=9)
+    return rounded(x, "rss_dof", "amp_rss", to=9)
 
 
 @query(f"WITH {TRIAL} SELECT object_id, template_id, abs(period - (0.4::DOUBLE + object_id % 50 / 100.0::DOUBLE)) < 0.105::DOUBLE AS correct FROM tr")
