@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+SALTS = 64  # parts into which the rows of one node are dealt
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v, m``: every edge with the least v of its u.
+
+    The rows of a node are dealt by v into parts; parts tell each other their least, so no task holds all rows of a hub.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    told = parts.select("u", "s").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return dealt.join(told, ["u", "s"]).drop("s")
+
+
 def _state(edges: DataFrame):
     return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -24,10 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        # the larger neighbours of u go to the least of u and its neighbours
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # of the smaller neighbours that u has now, all others go to the least, and so does u
+        held = _with_least(large)
+        small = held.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         after, new_path = shared.written(small, "edges")
         shared.remove(spark, path)
         now, path, state = after, new_path, _state(after)
