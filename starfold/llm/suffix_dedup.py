@@ -32,7 +32,8 @@ from .suffixes import GRAM, PREFIX, WIDTH, Contexts, anchors, as_spans, digests,
 
 BLOCK_BYTES = 12 << 20  # text bytes of a block
 PIECE = 1 << 20  # text bytes whose anchors are found together
-RANGES = 4096  # bound of the number of ranges; more data deal each range on by k-gram hash
+RANGES = 4096  # bound of the number of ranges; more data deal each range on into more parts
+PARTS = 4  # parts of a range by k-gram hash, at least, so that a prefix that many k-grams share is not one group
 SAMPLES = 16  # sampled suffixes for each range
 SPREAD = 20_000  # contexts of one k-gram over all blocks beyond which blocks settle it themselves
 ROWS = "kind int, a int, b int, block int, raw binary"
@@ -291,7 +292,7 @@ def _cut(docs: DataFrame, extra: list[str] | None) -> DataFrame:
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BLOCK_BYTES))
     ranges = min(n_blocks, RANGES)
-    subs = math.ceil(n_blocks / ranges)
+    subs = PARTS * math.ceil(n_blocks / ranges)
     blocked = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(n_blocks)).cast("int"))
 
     first, first_path = shared.written(blocked.select("block", "text").mapInPandas(asked(n_blocks), ROWS), "asks")
