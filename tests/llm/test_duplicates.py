@@ -181,6 +181,26 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Hubs with more neighbours than the parts a node is dealt into, the least node among a hub's neighbours, and hubs linked by a leaf."""
+    rng = np.random.default_rng(4)
+    edges = [(500, int(k)) for k in rng.permutation(1000)[:300]] + [(int(k), 2000) for k in range(2001, 2400)] + [(int(k), 5000) for k in range(4000, 4200)]
+    edges += [(4100, 2300), *map(tuple, rng.integers(6000, 6400, (250, 2)).tolist())]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in list(parent) if root(x) != x}
+    rows = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r["u"]: r["v"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_fingerprints(spark):
     base = prose(400, 3)
     rows = [(3, base), (1, base), (2, base + " " + prose(400, 4)), (4, prose(300, 5)), (5, ""), (6, None), (7, "two words")]
