@@ -8,7 +8,7 @@ document.  Only suffixes at anchors are sorted (see ``suffixes``; no repeat is l
    entry of them is sent, so a k-gram found everywhere costs each batch one entry.
 2. Blocks (documents dealt by doc_id) take the contexts of the anchors that repeat.  Equal contexts of a block are settled
    in it and one of them goes on.  Contexts are dealt into ranges by sampled splitters on the leading bytes of their
-   suffix.  A k-gram with very many different contexts in one block is settled by that block, and its first windows go to
+   suffix, and each range into parts by k-gram hash, which keeps equal k-grams together.  A k-gram with very many different contexts in one block is settled by that block, and its first windows go to
    step 4; a mark tells its range to do the same.
 3. Ranges sort their suffixes by multikey quicksort; equal k-grams are then neighbours, and windows with equal bytes are
    found among them: all but the first by (doc_id, place) are repeats.
