@@ -145,3 +145,29 @@ def test_streaming_prefilter(spark, tmp_path):
     q.stop()
     got = spark.table("variability").collect()
     assert sum(r["n"] for r in got) == 10 and all(r["chi2"] > 50 for r in got)
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Many small blocks, copies, odd vectors: each pair once, from few shuffled rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 6)), np.full((9, 6), 0.3)]) + 100
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (100, [1.0, 2.0]), (101, [1.0, None]), (102, None), (None, rows[0][1]), (0, rows[1][1])], "id long, vec array<double>").repartition(5)
+    monkeypatch.setattr(library, "BLOCK", 8)
+    monkeypatch.setattr(library, "CELLS", 40)
+    got = library.pairwise_l2(df, to=6).toPandas()
+    assert len(got) == len(got.query("id < id2")) == 73 * 72 // 2 - 1
+    assert got.query("id2 >= 100")["dist"].isna().all()
+    own = got.query("id > 0 and id2 < 100")
+    assert len(own) == 68 * 67 // 2 and all(r.dist == round(float(np.linalg.norm(x[r.id] - x[r.id2])), 6) for r in own.itertuples())
+    assert (own.query("id >= 60")["dist"] == 0).all()  # copies cancel to nothing at all
+    p = library.pearson_distance(df.where("id > 0 and id < 100"), to=6).toPandas()
+    corr = np.corrcoef(x[:60])
+    assert len(p) == 68 * 67 // 2 and all(abs(r.dist - (1 - corr[r.id, r.id2])) < 1e-6 for r in p.query("id2 < 60").itertuples())
+    plan = library.pairwise_l2(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # no row-by-row arrays
+
+
+def test_rounds_as_sql(spark):
+    x = np.array([0.5, 1.5, -0.5, -0.2, 2.4999999])
+    assert list(library._rounded(x, 0)) == [1.0, 2.0, -1.0, 0.0, 2.0] and not np.signbit(library._rounded(x, 0)[3])
