@@ -679,7 +679,7 @@ def kmedoids(spark, sf):
 
 @query()
 def avg_linkage(spark, sf):
-    return rounded(library.average_linkage(library.pairwise_l2(_vecs(spark, sf))), "height")
+    return rounded(library.average_linkage(_vecs(spark, sf)), "height")
 
 
 @query()

@@ -185,3 +185,24 @@ def test_summary_finds_the_median_by_counts(spark, monkeypatch):
         assert (r["n"], r["max"], r["median"]) == (len(values), max(known), pytest.approx(float(np.median(known)), rel=1e-12))
         assert r["min_positive"] == min(v for v in known if v > 0)
     assert library.distance_summary(df.where("false")).first()["median"] is None
+
+
+def test_clusters_of_vectors_are_those_of_pairs(spark, monkeypatch):
+    """More vectors than a task may hold, with copies: the same medoids and merges as from the whole distance matrix."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 4)) + 4 * rng.integers(0, 3, (60, 1)), np.full((5, 4), 0.5)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>").repartition(3)
+    pairs = library.pairwise_l2(df)
+    monkeypatch.setattr(library, "PASS", 300)
+    want = library.average_linkage(pairs).toPandas().sort_values("step")
+    for held in (1000, 12, 1):
+        monkeypatch.setattr(library, "HELD_CLUSTERS", held)
+        got = library.average_linkage(df).toPandas().sort_values("step")
+        assert np.allclose(got["height"], want["height"]) and list(got["size"]) == list(want["size"])
+        assert got.iloc[4:][["left", "right"]].to_numpy().tolist() == want.iloc[4:][["left", "right"]].to_numpy().tolist()
+    ks = [1, 2, 5]
+    a, b = (library.kmedoids(f, ks).toPandas().sort_values(["k", "id"]).reset_index(drop=True) for f in (df, pairs.withColumn("id", F.col("id").cast("long"))))
+    assert np.allclose(a.pop("cost"), b.pop("cost")) and a.equals(b)
+    monkeypatch.setattr(library, "MOST", 10)  # the bound on pairs does not bind vectors
+    assert library.kmedoids(df, [2]).count() == 65 and library.average_linkage(df).count() == 64
+    assert library.kmedoids(df.where("false"), ks).count() == library.average_linkage(df.where("id = 1")).count() == 0
