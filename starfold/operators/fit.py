@@ -16,6 +16,7 @@ from starfold.functions.photometry import phase_fit, polynomial
 from starfold.functions.sizes import small
 from starfold.schema import FIT, RSS_GRID
 
+from . import native
 from .grid import dealt
 from .templates import Template, interpolated
 
@@ -263,16 +264,6 @@ def frequencies(t: np.ndarray, pmin: float, dphi: float, pmax: float | None = No
     return f if pmax is None else f[1 / f <= pmax]
 
 
-def _row(obj, name, tpl: Template, freq, rss, phi, coef, n_obs) -> dict:
-    k = int(np.argmin(rss))
-    out = {"object_id": obj, "template_id": name, "period": 1 / freq[k], "phi": phi[k], "rss": rss[k], "rss_median": float(np.median(rss)), "n_obs": n_obs, "A": coef[k, -1], "mu": None, "ebv": None, "mu_band": None}
-    if tpl.dust is None:
-        out["mu_band"] = {b: float(v) for b, v in zip(tpl.bands, coef[k, :-1], strict=True) if np.isfinite(v)}
-    else:
-        out |= {"mu": coef[k, 0], "ebv": coef[k, 1]}
-    return out
-
-
 def fit(lc: DataFrame, templates: list[Template], pmin: float = 0.2, dphi: float = 0.02, pmax: float | None = None, blocks: int = 1, least: int = 5, windows: DataFrame | None = None, **how) -> DataFrame:
     """The best fit of every object by every template, as FIT rows (offsets by band in ``mu_band``, or ``mu, ebv``).
 
@@ -282,33 +273,27 @@ def fit(lc: DataFrame, templates: list[Template], pmin: float = 0.2, dphi: float
     template and a range of periods.  ``how`` goes to ``fitted``.
     """
     spark = lc.sparkSession
-    told = spark.sparkContext.broadcast(templates)
     cols = ["object_id", "row_id", "t", "band", "mag", "magerr"]
     rows = lc.select(*cols).where("t is not null and mag is not null and not isnan(mag) and magerr is not null and not isnan(magerr)")
     if windows is None:
         rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(pmax).cast("double")).withColumn("only", F.lit(None).cast("string"))
     else:
         rows = rows.join(windows.select("object_id", "low", "high", F.col("template_id").alias("only")), "object_id").withColumn("block", F.lit(0))
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "row_id"])
-        low, high, only = pdf["low"].iloc[0], pdf["high"].iloc[0], pdf["only"].iloc[0]
-        mine = [x for x in told.value if x.name == only] if isinstance(only, str) else told.value[key[1] :: blocks]
-        out = []
-        for tpl in mine:
-            p = pdf[pdf["band"].isin(tpl.bands)]
-            if len(p) < least:
-                continue
-            t, mag, err = (p[c].to_numpy(float) for c in ("t", "mag", "magerr"))
-            freq = frequencies(t, low if low == low and low is not None else pmin, dphi, high if high == high and high is not None else None)
-            if not len(freq):
-                continue
-            rss, phi, coef = fitted(t, mag, err, p["band"].tolist(), tpl, freq, **how)
-            if np.isfinite(rss).any():
-                out.append(_row(key[0], tpl.name, tpl, freq, np.where(np.isfinite(rss), rss, np.inf), phi, coef, len(p)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
-
-    return dealt(rows, "object_id", "block").groupBy("object_id", "block").applyInPandas(one, FIT)
+    settings = {"newton": 5, "starts": 4, "warm": False, "use_errors": True, "phase_step": "descent"} | how
+    told = [dphi, least, *(float(settings[c]) for c in ("newton", "starts", "warm", "use_errors")), 1.0 if settings["phase_step"] == "descent" else -1.0]
+    packed = F.array_sort(F.collect_list(F.struct("t", "row_id", "band", "mag", "magerr"))).alias("_o")
+    x = dealt(rows, "object_id", "block").groupBy("object_id", "block").agg(packed, *(F.first(c).alias(c) for c in ("low", "high", "only")))
+    library = F.broadcast(native.frame(spark, templates, blocks if windows is None else 1))
+    x = x.join(library, "block") if windows is None else x.join(library.drop("block"), F.col("only") == F.col("template_id"))
+    range_ = F.array(F.coalesce(F.nanvl("low", F.lit(None).cast("double")), F.lit(float(pmin))), F.coalesce("high", F.lit(float("nan"))))
+    found = F.call_function(native.function(spark), "_o.t", "_o.mag", "_o.magerr", "_o.band", "_bands", "_table", range_, F.array(*(F.lit(float(v)) for v in told)))
+    x = x.select("object_id", "template_id", "_bands", F.explode(found).alias("_r"))
+    r = lambda i: F.get("_r", F.lit(i))
+    dusty = F.size("_r") == 8
+    offsets = F.map_from_entries(F.filter(F.transform("_bands", lambda b, i: F.struct(b.alias("key"), F.get("_r", i + 8).alias("value"))), lambda e: ~F.isnan(e["value"])))
+    names = ("period", "phi", "rss", "rss_median", "n_obs", "A")
+    values = [r(i).cast("long" if c == "n_obs" else "double").alias(c) for i, c in enumerate(names)]
+    return x.select("object_id", "template_id", *values, F.when(dusty, r(6)).alias("mu"), F.when(dusty, r(7)).alias("ebv"), F.when(~dusty, offsets).alias("mu_band"))
 
 
 def rss_grid(lc: DataFrame, template: Template, pmin: float, dphi: float, pmax: float | None = None, **how) -> DataFrame:

@@ -219,3 +219,27 @@ def test_registered_queries_use_the_production_settings(monkeypatch):
     (rr, _), (warm, _), two, (job, _) = calls
     assert rr == warm == (0.2, 0.02) and two == ((), {})
     assert (job[1].pmin, job[1].pmax, job[1].dphi) == (0.44, 0.89, 0.02)
+
+
+def test_fit_in_the_jvm_is_that_of_the_kernels(spark):
+    """No Python works on the stars, and every value is that of the NumPy kernels, warm walks and windows too."""
+    lc = star(spark, n=20, objects=3, curve=injected(TPL, 0.55)).withColumn("magerr", F.when(F.col("row_id") % 7 == 0, 0.0).otherwise(F.col("magerr") * (1 + F.col("row_id") % 3)))
+    own = {o: p.sort_values(["t", "row_id"]) for o, p in lc.toPandas().groupby("object_id")}
+    short = templates.synthetic("short", ("g",), 12, 0.1, dusty=False)
+    for tpl, how in ((TPL, {}), (FLAT, {}), (short, {"use_errors": False}), (TPL, {"warm": True}), (TPL, {"phase_step": "reference", "starts": 3, "newton": 2})):
+        dphi = 10.0 if how.get("warm") else 0.1  # a warm walk of many trials blows up last digits, in NumPy alone too
+        df = fit.fit(lc, [tpl], 0.4, dphi, **how)
+        assert "Python" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan and "Arrow" not in plan
+        got = {r["object_id"]: r for r in df.collect()}
+        assert set(got) == set(own)
+        for o, p in own.items():
+            p = p[p["band"].isin(tpl.bands)]
+            t, m, e = (p[c].to_numpy(float) for c in ("t", "mag", "magerr"))
+            freq = fit.frequencies(t, 0.4, dphi)
+            rss, phi, coef = fit.fitted(t, m, e, p["band"].tolist(), tpl, freq, **how)
+            k, r = rss.argmin(), got[o]
+            assert [r["period"], r["phi"], r["rss"], r["rss_median"], r["A"], r["n_obs"]] == pytest.approx([1 / freq[k], phi[k], rss[k], np.median(rss), coef[k, -1], len(p)], rel=1e-6)
+            if tpl.dust is None:
+                assert r["mu"] is None and r["mu_band"] == pytest.approx(dict(zip(tpl.bands, coef[k, :-1])))
+            else:
+                assert r["mu_band"] is None and [r["mu"], r["ebv"]] == pytest.approx(list(coef[k, :2]), rel=1e-6)
