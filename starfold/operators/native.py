@@ -1,7 +1,7 @@
 """The template fit as a function of Spark's JVM: the kernels of ``fit`` in Java, compiled in memory by the compiler that Spark ships.
 
-They take the same steps as ``fit.fit_dusty`` and ``fit.fit_offsets``, an observation at a time in place of passes over arrays;
-sums may differ in their last digits.  The class goes to the executors as a jar, as Spark's ``ADD JAR`` sends it.
+They take the same steps as ``fit.fit_dusty`` and ``fit.fit_offsets``, with the starts of many trials side by side in place of
+passes over arrays; sums go by observation and may differ in their last digits.  The class goes to the executors as a jar, as Spark's ``ADD JAR`` sends it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ package starfold;
 
 public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Serializable {
   static final double SMALL = 1e-20;
+  static final int LANES = 176;  // of a block; rows of a power of two would compete for the same lines of the cache
+  static final int CELLS = 1 << 17;  // (lane x observation) of a block
 
   static double[] numbers(Object o) {
     scala.collection.Seq s = (scala.collection.Seq) o;
@@ -44,22 +46,182 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     return n % 2 == 1 ? y[n / 2] : (y[n / 2 - 1] + y[n / 2]) / 2;
   }
 
-  /** c of a c = b (3 x 3) by elimination with pivots; false if singular. */
-  static boolean solved(double[][] a, double[] c) {
-    double det = 1;
-    for (int k = 0; k < 3; k++) {
-      int p = k;
-      for (int r = k + 1; r < 3; r++) if (Math.abs(a[r][k]) > Math.abs(a[p][k])) p = r;
-      if (p != k) { double[] x = a[k]; a[k] = a[p]; a[p] = x; det = -det; }
-      det *= a[k][k];
-      if (a[k][k] == 0) return false;
-      for (int r = k + 1; r < 3; r++) { double q = a[r][k] / a[k][k]; for (int j = k; j < 4; j++) a[r][j] -= q * a[k][j]; }
+  /** (c0, c1, c2)[l] of the symmetric system with rows (u, v, z | right side) by elimination with pivots; false, and they stay, if singular. */
+  static boolean solved(double u0, double u1, double u2, double u3, double v1, double v2, double v3, double z2, double z3, double[] c0, double[] c1, double[] c2, int l) {
+    double v0 = u1, z0 = u2, z1 = v2, x;
+    int p = Math.abs(v0) > Math.abs(u0) ? 1 : 0;
+    if (Math.abs(z0) > Math.abs(p == 1 ? v0 : u0)) {
+      x = u0; u0 = z0; z0 = x; x = u1; u1 = z1; z1 = x; x = u2; u2 = z2; z2 = x; x = u3; u3 = z3; z3 = x;
+    } else if (p == 1) {
+      x = u0; u0 = v0; v0 = x; x = u1; u1 = v1; v1 = x; x = u2; u2 = v2; v2 = x; x = u3; u3 = v3; v3 = x;
     }
-    if (!(Math.abs(det) >= SMALL)) return false;
-    for (int r = 2; r >= 0; r--) { double x = a[r][3]; for (int j = r + 1; j < 3; j++) x -= a[r][j] * c[j]; c[r] = x / a[r][r]; }
+    if (u0 == 0) return false;
+    double q = v0 / u0;
+    v1 -= q * u1; v2 -= q * u2; v3 -= q * u3;
+    q = z0 / u0;
+    z1 -= q * u1; z2 -= q * u2; z3 -= q * u3;
+    if (Math.abs(z1) > Math.abs(v1)) { x = v1; v1 = z1; z1 = x; x = v2; v2 = z2; z2 = x; x = v3; v3 = z3; z3 = x; }
+    if (v1 == 0) return false;
+    q = z1 / v1;
+    z2 -= q * v2; z3 -= q * v3;
+    if (z2 == 0 || !(Math.abs(u0 * v1 * z2) >= SMALL)) return false;
+    double e = z3 / z2, d = (v3 - v2 * e) / v1;
+    c0[l] = (u3 - u1 * d - u2 * e) / u0; c1[l] = d; c2[l] = e;
     return true;
   }
 
+  // A lane is one start of one trial.  Each loop below takes one observation at all lanes, with nothing but arithmetic on
+  // rows of lanes, which the JVM turns into vector instructions; only the look-up of knots goes lane by lane.
+
+  /** Where an observation is between knots and, as the low bits of a double, which ``from`` lifts to 2^52, the place of the knot before. */
+  static void phases(int lanes, double t, double wide, double from, double[] freq, double[] phi, double[] part, double[] place) {
+    for (int l = 0; l < lanes; l++) {
+      double v = freq[l] * t + phi[l], x = (v - Math.floor(v)) * wide, k = Math.floor(x);
+      part[l] = x - k;
+      place[l] = k * 4 + from;
+    }
+  }
+
+  static void curves(int lanes, double[] part, double[] place, double[] knot, double[] g, double[] s) {
+    for (int l = 0; l < lanes; l++) {
+      int k = (int) Double.doubleToRawLongBits(place[l]);
+      double f = part[l];
+      g[l] = knot[k] + f * knot[k + 1];
+      s[l] = knot[k + 2] + f * knot[k + 3];
+    }
+  }
+
+  static void values(int lanes, double[] part, double[] place, double[] knot, double[] g) {
+    for (int l = 0; l < lanes; l++) { int k = (int) Double.doubleToRawLongBits(place[l]); g[l] = knot[k] + part[l] * knot[k + 1]; }
+  }
+
+  static void constants(int lanes, double w, double wd, double mag, double[] beta, double[] sy, double[] sdy) {
+    for (int l = 0; l < lanes; l++) { double y = mag - beta[l]; sy[l] += w * y; sdy[l] += wd * y; }
+  }
+
+  static void moments(int lanes, double w, double d, double mag, double[] beta, double[] g, double[] g1, double[] g2, double[] g3, double[] g4) {
+    for (int l = 0; l < lanes; l++) { double v = g[l], x = w * v; g1[l] += x; g2[l] += x * d; g3[l] += x * v; g4[l] += x * (mag - beta[l]); }
+  }
+
+  static void residuals(int lanes, double d, double mag, double[] beta, double[] c0, double[] c1, double[] c2, double[] g, double[] left) {
+    for (int l = 0; l < lanes; l++) left[l] = mag - beta[l] - c0[l] - c1[l] * d - c2[l] * g[l];
+  }
+
+  static void plainResiduals(int lanes, double mag, double[] mu, double[] amp, double[] g, double[] left) {
+    for (int l = 0; l < lanes; l++) left[l] = mag - mu[l] - amp[l] * g[l];
+  }
+
+  static void descents(int lanes, double w, double[] amp, double[] s, double[] left, double[] down, double[] up) {
+    for (int l = 0; l < lanes; l++) { double slope = amp[l] * s[l], x = w * slope; down[l] += x * slope; up[l] += x * left[l]; }
+  }
+
+  static void squares(int lanes, double w, double[] left, double[] sum) {
+    for (int l = 0; l < lanes; l++) { double x = left[l]; sum[l] += w * x * x; }
+  }
+
+  static void weights(int lanes, double w, double[] g, double[] sum) { for (int l = 0; l < lanes; l++) sum[l] += w * g[l]; }
+
+  static void offsets(int lanes, double sm, double under, double[] amp, double[] sum, double[] mu) {
+    for (int l = 0; l < lanes; l++) mu[l] = (sm - amp[l] * sum[l]) / under;
+  }
+
+  static void amplitudes(int lanes, double w, double mag, double[] mu, double[] g, double[] g3, double[] g4) {
+    for (int l = 0; l < lanes; l++) { double v = g[l], x = w * v; g3[l] += x * v; g4[l] += x * (mag - mu[l]); }
+  }
+
+  /** What one call works on: observations, then rows of lanes (c: coefficients, the amplitude last; beta: constants by band). */
+  transient int n, bands, wide, each, found;
+  transient double sign, s0, s1, s2, bestRss, bestPhi;
+  transient boolean dusty;
+  transient int[] band, off;
+  transient boolean[] live;
+  transient double[] t, mag, w, d, wd, from, sw, sm, knot, freqs, phi, part, place, sy, sdy, down, up, left, rest, best;
+  transient double[][] g, s, c, beta, sum;
+
+  static void clear(double[] a, int lanes) { java.util.Arrays.fill(a, 0, lanes, 0.0); }
+
+  void rows(int lanes, int width) {
+    live = new boolean[lanes];
+    freqs = new double[lanes]; phi = new double[lanes]; part = new double[lanes]; place = new double[lanes]; sy = new double[lanes]; sdy = new double[lanes];
+    down = new double[lanes]; up = new double[lanes]; left = new double[lanes]; rest = new double[lanes];
+    g = new double[n][lanes]; s = new double[n][lanes]; c = new double[width][lanes]; beta = new double[bands][lanes]; sum = new double[Math.max(4, bands)][lanes];
+  }
+
+  /** Lanes of ``now`` trials from the k-th, with starts at equal distances. */
+  void begin(double[] freq, int k, int now, double[] table, int at) {
+    int lanes = now * each;
+    for (int l = 0; l < lanes; l++) {
+      double f = freq[k + l / each], p = 1 / f;
+      freqs[l] = f;
+      phi[l] = (double) (l % each) / each;
+      live[l] = true;
+      if (dusty) for (int b = 0, i = at; b < bands; b++, i += 3) beta[b][l] = table[i] + table[i + 1] * p + table[i + 2] * (p * p);
+    }
+    for (int i = 0; i < c.length; i++) clear(c[i], lanes);
+    if (dusty) {
+      clear(sy, lanes); clear(sdy, lanes);
+      for (int i = 0; i < n; i++) constants(lanes, w[i], wd[i], mag[i], beta[band[i]], sy, sdy);
+    } else java.util.Arrays.fill(c[bands], 0, lanes, 1.0);
+  }
+
+  void look(int lanes) {
+    for (int i = 0; i < n; i++) {
+      phases(lanes, t[i], wide, from[i], freqs, phi, part, place);
+      curves(lanes, part, place, knot, g[i], s[i]);
+    }
+  }
+
+  void linear(int lanes) {
+    for (int i = 0; i < 4; i++) clear(sum[i], lanes);
+    double[] g1 = sum[0], g2 = sum[1], g3 = sum[2], g4 = sum[3];
+    for (int i = 0; i < n; i++) moments(lanes, w[i], d[i], mag[i], beta[band[i]], g[i], g1, g2, g3, g4);
+    for (int l = 0; l < lanes; l++) live[l] = live[l] && solved(s0, s1, g1[l], sy[l], s2, g2[l], sdy[l], g3[l], g4[l], c[0], c[1], c[2], l);
+  }
+
+  void plain(int lanes) {
+    double[] amp = c[bands], g3 = sum[0], g4 = sum[1];
+    for (int b = 0; b < bands; b++) clear(sum[b], lanes);
+    for (int i = 0; i < n; i++) weights(lanes, w[i], g[i], sum[band[i]]);
+    for (int b = 0; b < bands; b++) offsets(lanes, sm[b], sw[b] > 0 ? sw[b] : 1, amp, sum[b], c[b]);
+    clear(g3, lanes); clear(g4, lanes);
+    for (int i = 0; i < n; i++) amplitudes(lanes, w[i], mag[i], c[band[i]], g[i], g3, g4);
+    for (int l = 0; l < lanes; l++) if (g3[l] > SMALL) amp[l] = g4[l] / g3[l];
+  }
+
+  void residual(int i, int lanes, double[] g) {
+    if (dusty) residuals(lanes, d[i], mag[i], beta[band[i]], c[0], c[1], c[2], g, left);
+    else plainResiduals(lanes, mag[i], c[band[i]], c[bands], g, left);
+  }
+
+  void turn(int lanes) {
+    clear(down, lanes); clear(up, lanes);
+    double[] amp = c[c.length - 1];
+    for (int i = 0; i < n; i++) { residual(i, lanes, g[i]); descents(lanes, w[i], amp, s[i], left, down, up); }
+    for (int l = 0; l < lanes; l++) if (live[l] && Math.abs(down[l]) > SMALL) { double x = phi[l] + sign * up[l] / down[l]; phi[l] = x - Math.floor(x); }
+  }
+
+  void finish(int lanes) {
+    clear(rest, lanes);
+    for (int i = 0; i < n; i++) {
+      phases(lanes, t[i], wide, from[i], freqs, phi, part, place);
+      values(lanes, part, place, knot, g[0]);
+      residual(i, lanes, g[0]);
+      squares(lanes, w[i], left, rest);
+    }
+  }
+
+  /** Takes the least of each trial's lanes. */
+  void pick(int k, int now, double[] rss) {
+    for (int j = 0; j < now; j++) {
+      int l = j * each;
+      for (int r = 1; r < each; r++) if (better(rest[j * each + r], rest[l])) l = j * each + r;
+      double x = rest[l];
+      // one start without a number voids the trial
+      rss[k + j] = Double.isNaN(x) || Double.isInfinite(x) ? Double.POSITIVE_INFINITY : x;
+      if (rss[k + j] < bestRss) { bestRss = rss[k + j]; bestPhi = phi[l]; found = k + j; for (int i = 0; i < c.length; i++) best[i] = c[i][l]; }
+    }
+  }
+
   static void curves(int n, double[] turn, int[] off, double phi, int wide, double[] gv, double[] sv, double[] g, double[] s) {
     for (int i = 0; i < n; i++) {
       double x = turn[i] + phi;
@@ -72,6 +234,37 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     }
   }
 
+  /** The dusty trials of a warm walk, which wait for each other: one lane, whose phase stays, with loops over its observations. */
+  void walk(double[] freq, int newton, double[] table, int at, double[] gv, double[] sv, double[] rss) {
+    double[] turn = new double[n], y = new double[n], g = new double[n], s = new double[n];
+    for (int k = 0; k < rss.length; k++) {
+      double p = 1 / freq[k], sumY = 0, sumDy = 0, angle = phi[0], square = 0;
+      for (int i = 0; i < n; i++) {
+        turn[i] = freq[k] * t[i];
+        int b = at + 3 * band[i];
+        y[i] = mag[i] - (table[b] + table[b + 1] * p + table[b + 2] * (p * p));
+        sumY += w[i] * y[i];
+        sumDy += wd[i] * y[i];
+      }
+      for (int i = 0; i < 3; i++) c[i][0] = 0;
+      for (int step = 0; step < newton; step++) {
+        curves(n, turn, off, angle, wide, gv, sv, g, s);
+        double g1 = 0, g2 = 0, g3 = 0, g4 = 0, down = 0, up = 0;
+        for (int i = 0; i < n; i++) { double x = w[i] * g[i]; g1 += x; g2 += x * d[i]; g3 += x * g[i]; g4 += x * y[i]; }
+        if (!solved(s0, s1, g1, sumY, s2, g2, sumDy, g3, g4, c[0], c[1], c[2], 0)) break;
+        double c0 = c[0][0], c1 = c[1][0], c2 = c[2][0];
+        for (int i = 0; i < n; i++) { double slope = c2 * s[i], x = w[i] * slope; down += x * slope; up += x * (y[i] - c0 - c1 * d[i] - c2 * g[i]); }
+        if (Math.abs(down) > SMALL) { angle += sign * up / down; angle -= Math.floor(angle); }
+      }
+      curves(n, turn, off, angle, wide, gv, sv, g, s);
+      double c0 = c[0][0], c1 = c[1][0], c2 = c[2][0];
+      for (int i = 0; i < n; i++) { double x = y[i] - c0 - c1 * d[i] - c2 * g[i]; square += w[i] * x * x; }
+      phi[0] = angle;
+      rest[0] = square;
+      pick(k, 1, rss);
+    }
+  }
+
   /** Rows of a table one place wider and a last place more: the circle closed. */
   static double[] closed(double[] table, int from, int bands, int wide) {
     double[] out = new double[bands * (wide + 1) + 1];
@@ -121,78 +314,37 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     if (nf == 0) return new double[0][];
 
     double[] gv = closed(table, 2, bands, wide), sv = closed(table, 2 + bands * wide, bands, wide);
-    int dust = 2 + 2 * bands * wide, beta = dust + bands, width = dusty ? 3 : bands + 1;
-    double[] turn = new double[n], y = new double[n], d = new double[n], g = new double[n], s = new double[n];
-    double[] mine = new double[width], rss = new double[nf], best = new double[width], coef = new double[width], own = new double[3], sw = new double[bands], sm = new double[bands], wg = new double[bands];
-    double s0 = 0, s1 = 0, s2 = 0, bestRss = Double.POSITIVE_INFINITY, bestPhi = 0, carried = 0;
-    int found = -1;
+    int dust = 2 + 2 * bands * wide, width = dusty ? 3 : bands + 1, each = warm ? 1 : starts;
+    int many = warm ? 1 : Math.max(1, Math.min(nf, Math.min(LANES, CELLS / n) / each));
+    @NAME@ x = new @NAME@();
+    x.n = n; x.bands = bands; x.wide = wide; x.each = each; x.dusty = dusty; x.sign = sign;
+    x.t = t; x.mag = mag; x.w = w; x.band = band; x.off = off; x.best = new double[width]; x.found = -1; x.bestRss = Double.POSITIVE_INFINITY;
+    x.knot = new double[4 * gv.length]; x.from = new double[n]; x.d = new double[n]; x.wd = new double[n]; x.sw = new double[bands]; x.sm = new double[bands];
+    for (int i = 0; i + 1 < gv.length; i++) { x.knot[4 * i] = gv[i]; x.knot[4 * i + 1] = gv[i + 1] - gv[i]; x.knot[4 * i + 2] = sv[i]; x.knot[4 * i + 3] = sv[i + 1] - sv[i]; }
     for (int i = 0; i < n; i++) {
-      if (dusty) { d[i] = table[dust + band[i]]; s0 += w[i]; s1 += w[i] * d[i]; s2 += w[i] * d[i] * d[i]; }
-      sw[band[i]] += w[i];
-      sm[band[i]] += w[i] * mag[i];
+      if (dusty) { x.d[i] = table[dust + band[i]]; x.wd[i] = w[i] * x.d[i]; x.s0 += w[i]; x.s1 += x.wd[i]; x.s2 += x.wd[i] * x.d[i]; }
+      x.from[i] = 4503599627370496.0 + 4 * off[i];
+      x.sw[band[i]] += w[i];
+      x.sm[band[i]] += w[i] * mag[i];
     }
-    double[][] a = new double[3][4];
-    for (int k = 0; k < nf; k++) {
-      double p = 1 / freq[k], sy = 0, sdy = 0, least1 = 0, phase = 0;
-      for (int i = 0; i < n; i++) {
-        turn[i] = freq[k] * t[i];
-        if (dusty) {
-          int b = beta + 3 * band[i];
-          y[i] = mag[i] - (table[b] + table[b + 1] * p + table[b + 2] * (p * p));
-          sy += w[i] * y[i];
-          sdy += w[i] * d[i] * y[i];
-        }
+    x.rows(many * each, width);
+    double[] rss = new double[nf], best = x.best, sw = x.sw;
+    if (warm) x.walk(freq, newton, table, dust + bands, gv, sv, rss);
+    else for (int k = 0; k < nf; k += many) {
+      int now = Math.min(many, nf - k), lanes = now * each;
+      x.begin(freq, k, now, table, dust + bands);
+      for (int step = 0; step < newton; step++) {
+        x.look(lanes);
+        if (dusty) x.linear(lanes); else x.plain(lanes);
+        x.turn(lanes);
       }
-      for (int r = 0; r < (warm ? 1 : starts); r++) {
-        double phi = warm ? carried : (double) r / starts, amp = 1, left = 0;
-        java.util.Arrays.fill(coef, 0.0);
-        for (int step = 0; step < newton; step++) {
-          curves(n, turn, off, phi, wide, gv, sv, g, s);
-          double down = 0, up = 0;
-          if (dusty) {
-            double g1 = 0, g2 = 0, g3 = 0, g4 = 0;
-            for (int i = 0; i < n; i++) { double x = w[i] * g[i]; g1 += x; g2 += x * d[i]; g3 += x * g[i]; g4 += x * y[i]; }
-            double[] u = a[0], v = a[1], z = a[2];
-            u[0] = s0; u[1] = s1; u[2] = g1; u[3] = sy;
-            v[0] = s1; v[1] = s2; v[2] = g2; v[3] = sdy;
-            z[0] = g1; z[1] = g2; z[2] = g3; z[3] = g4;
-            if (!solved(a, own)) break;
-            double c0 = own[0], c1 = own[1], c2 = own[2];
-            coef[0] = c0; coef[1] = c1; coef[2] = c2;
-            for (int i = 0; i < n; i++) { double slope = c2 * s[i], x = w[i] * slope; down += x * slope; up += x * (y[i] - c0 - c1 * d[i] - c2 * g[i]); }
-          } else {
-            java.util.Arrays.fill(wg, 0.0);
-            for (int i = 0; i < n; i++) wg[band[i]] += w[i] * g[i];
-            for (int b = 0; b < bands; b++) coef[b] = (sm[b] - amp * wg[b]) / (sw[b] > 0 ? sw[b] : 1);
-            double g3 = 0, g4 = 0;
-            for (int i = 0; i < n; i++) { double x = w[i] * g[i]; y[i] = mag[i] - coef[band[i]]; g3 += x * g[i]; g4 += x * y[i]; }
-            if (g3 > SMALL) amp = g4 / g3;
-            for (int i = 0; i < n; i++) { double slope = amp * s[i], x = w[i] * slope; down += x * slope; up += x * (y[i] - amp * g[i]); }
-          }
-          if (Math.abs(down) > SMALL) { phi += sign * up / down; phi -= Math.floor(phi); }
-        }
-        curves(n, turn, off, phi, wide, gv, sv, g, s);
-        if (dusty) {
-          double c0 = coef[0], c1 = coef[1], c2 = coef[2];
-          for (int i = 0; i < n; i++) { double x = y[i] - c0 - c1 * d[i] - c2 * g[i]; left += w[i] * x * x; }
-        } else {
-          coef[bands] = amp;
-          for (int i = 0; i < n; i++) { double x = mag[i] - coef[band[i]] - amp * g[i]; left += w[i] * x * x; }
-        }
-        if (r == 0 || better(left, least1)) {
-          least1 = left;
-          phase = phi;
-          System.arraycopy(coef, 0, mine, 0, width);
-        }
-      }
-      carried = phase;
-      // one start without a number voids the trial
-      rss[k] = Double.isNaN(least1) || Double.isInfinite(least1) ? Double.POSITIVE_INFINITY : least1;
-      if (rss[k] < bestRss) { bestRss = rss[k]; bestPhi = phase; found = k; System.arraycopy(mine, 0, best, 0, width); }
+      x.finish(lanes);
+      x.pick(k, now, rss);
     }
+    int found = x.found;
     if (found < 0) return new double[0][];
     double[] out = new double[8 + (dusty ? 0 : bands)];
-    out[0] = 1 / freq[found]; out[1] = bestPhi; out[2] = bestRss; out[3] = median(rss); out[4] = n; out[5] = best[width - 1];
+    out[0] = 1 / freq[found]; out[1] = x.bestPhi; out[2] = x.bestRss; out[3] = median(rss); out[4] = n; out[5] = best[width - 1];
     out[6] = dusty ? best[0] : Double.NaN; out[7] = dusty ? best[1] : Double.NaN;
     if (!dusty) for (int b = 0; b < bands; b++) out[8 + b] = sw[b] > 0 ? best[b] : Double.NaN;
     return new double[][] {out};

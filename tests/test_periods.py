@@ -243,3 +243,19 @@ def test_fit_in_the_jvm_is_that_of_the_kernels(spark):
                 assert r["mu"] is None and r["mu_band"] == pytest.approx(dict(zip(tpl.bands, coef[k, :-1])))
             else:
                 assert r["mu_band"] is None and [r["mu"], r["ebv"]] == pytest.approx(list(coef[k, :2]), rel=1e-6)
+
+
+def test_fit_blocks_of_any_shape_are_those_of_the_kernels(spark):
+    """Lanes go in blocks: a last block cut short, odd and many starts, one trial, curves that leave room for few lanes."""
+    rng = np.random.default_rng(5)
+    for n, pmin, dphi, how in ((31, 0.3, 0.5, {"starts": 3}), (20, 0.3, 0.5, {"starts": 1}), (6, 0.5, 0.5, {"starts": 200}), (3000, 0.9, 0.7, {}), (20, 80.0, 0.1, {}), (9, 0.3, 0.5, {"newton": 0})):
+        for tpl in (TPL, FLAT):
+            t = np.sort(rng.uniform(0, 30, n))
+            bands = ["g" if x else "r" for x in rng.integers(0, 2, n)]
+            m, e = 14 + np.sin(12.5 * t) + rng.normal(0, 0.1, n), rng.uniform(0.05, 0.2, n)
+            lc = spark.createDataFrame([(1, i, float(t[i]), bands[i], float(m[i]), float(e[i])) for i in range(n)], LIGHT_CURVE)
+            r = fit.fit(lc, [tpl], pmin, dphi, **how).first()
+            freq = fit.frequencies(t, pmin, dphi)
+            rss, phi, coef = fit.fitted(t, m, e, bands, tpl, freq, **how)
+            k = rss.argmin()
+            assert [r["period"], r["phi"], r["rss"], r["rss_median"], r["A"]] == pytest.approx([1 / freq[k], phi[k], rss[k], np.median(rss), coef[k, -1]], rel=1e-6)
