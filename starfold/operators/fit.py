@@ -275,10 +275,12 @@ def fit(lc: DataFrame, templates: list[Template], pmin: float = 0.2, dphi: float
     spark = lc.sparkSession
     cols = ["object_id", "row_id", "t", "band", "mag", "magerr"]
     rows = lc.select(*cols).where("t is not null and mag is not null and not isnan(mag) and magerr is not null and not isnan(magerr)")
+    # exploded even if there is one: a constant would fall out of the groups but not of the deal, and Spark would deal again, into as few tasks as bytes fill
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1 if windows is None else 0))))
     if windows is None:
-        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(pmax).cast("double")).withColumn("only", F.lit(None).cast("string"))
+        rows = rows.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(pmax).cast("double")).withColumn("only", F.lit(None).cast("string"))
     else:
-        rows = rows.join(windows.select("object_id", "low", "high", F.col("template_id").alias("only")), "object_id").withColumn("block", F.lit(0))
+        rows = rows.join(windows.select("object_id", "low", "high", F.col("template_id").alias("only")), "object_id")
     settings = {"newton": 5, "starts": 4, "warm": False, "use_errors": True, "phase_step": "descent"} | how
     told = [dphi, least, *(float(settings[c]) for c in ("newton", "starts", "warm", "use_errors")), 1.0 if settings["phase_step"] == "descent" else -1.0]
     packed = F.array_sort(F.collect_list(F.struct("t", "row_id", "band", "mag", "magerr"))).alias("_o")

@@ -259,3 +259,11 @@ def test_fit_blocks_of_any_shape_are_those_of_the_kernels(spark):
             rss, phi, coef = fit.fitted(t, m, e, bands, tpl, freq, **how)
             k = rss.argmin()
             assert [r["period"], r["phi"], r["rss"], r["rss_median"], r["A"]] == pytest.approx([1 / freq[k], phi[k], rss[k], np.median(rss), coef[k, -1]], rel=1e-6)
+
+
+def test_a_fit_by_windows_spreads_over_tasks(spark):
+    """Stars of the second stage go to as many tasks as the session asks for, though their bytes would fit one."""
+    lc = star(spark, n=10, objects=24, curve=injected(FLAT, 0.55))
+    windows = lc.select("object_id").distinct().select("object_id", F.lit("mb").alias("template_id"), F.lit(0.5).alias("low"), F.lit(0.6).alias("high"))
+    found = fit.fit(lc, [FLAT], dphi=0.1, windows=windows).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 24 and len({r["task"] for r in found}) == 4
