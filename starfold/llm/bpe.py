@@ -8,12 +8,14 @@ takes the place of the scan and gives the same merges.
 
 from __future__ import annotations
 
+import functools
 import gc
 import heapq
 import json
 import re
 import unicodedata
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -25,23 +27,26 @@ BLOCK = 256  # texts whose words are looked up together
 NEVER = 1 << 30
 
 
+@functools.cache
+def categories() -> np.ndarray:
+    """The general category of every character, as two bytes."""
+    return np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), "S2")
+
+
 def char_class(chars: set[int], kind: str) -> str:
     """A character class, as ranges that the standard ``re`` can compile: this general category, and ``chars``."""
-    out, start = [], None
-    for c in range(0x110001):
-        if c < 0x110000 and (unicodedata.category(chr(c))[0] == kind or c in chars):
-            start = c if start is None else start
-        elif start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+    member = np.zeros(0x110002, np.int8)
+    member[1:-1] = categories().view("S1")[::2] == kind.encode()
+    member[[c + 1 for c in chars]] = 1
+    step = np.diff(member)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True))
 
 
 def newer_characters(library) -> tuple[set[int], set[int], dict[int, str]]:
     """(letters, numbers, normal forms) of characters that the library's Unicode version has and Python's lacks."""
     import regex
 
-    every = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    every = "".join(map(chr, np.flatnonzero(categories() == b"Cn").tolist()))
     new = regex.findall(r"[\p{L}\p{N}]", every)
     pieces = lambda x: len(library.pre_tokenizer.pre_tokenize_str(x))
     letters = {ord(c) for c in new if pieces("a" + c) == 1}
@@ -58,8 +63,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 # A text is first cut at white space, which no pattern crosses but for one leading space; only chunks that the cache lacks meet the full pattern.
 BYTE_CHUNK = " ?[^S]+|[S]+(?![^S])|[S]+"
-STOPS = (".", ",")
-ODD_SPACE = re.compile("[\x1c-\x1f]")  # these part words for str.split, but are no white space here
+STOPS = frozenset(".,;:!?)")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"  # these part words for str.split, but are no white space here
 
 OTHER_SPACE = re.compile("[S]".replace("S", WHITE.replace("\\t-\\r ", "\\t\\x0b-\\r")))
 
@@ -69,6 +74,10 @@ def single_spaced(text: str) -> bool:
     return not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
 
 
+def odd_space(text: str) -> bool:
+    return any(c in text for c in ODD_SPACES)  # four plain searches are faster than one of a class
+
+
 def splitter(pattern: str, letters: set[int], numbers: set[int]):
     letters, numbers = char_class(letters, "L"), char_class(numbers, "N")
     return re.compile(re.sub(r"[LNS](?=[LNS]*\])", lambda m: {"L": letters, "N": numbers, "S": WHITE}[m[0]], pattern))
@@ -86,6 +95,17 @@ def lower(text: str) -> str:
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
+class Known(dict):
+    """A cache of what ``make`` says of a key: look-ups make what they lack."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        made = self[key] = self.make(key)
+        return made
+
+
 class Bpe:
     """One vocabulary file: ``encode`` gives the ids of a text as a numpy array, ``decode`` the text of ids.
 
@@ -122,16 +142,28 @@ class Bpe:
                 self.rank[vocab[a] << 20 | vocab[b]] = (r, vocab[a + b])
             self._tabulate()
         else:
-            self.library = library
+            self.library, self.tokenize = library, library.model.tokenize
+            self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.of_bytes = dict(enumerate(self.alphabet))
+        self.vocab = vocab
+        self.cache: dict[str, bytes] = {} if own_merges else Known(lambda c: self.chunk_ids(c, ""))
+        self.spaced: dict[str, bytes] = {} if own_merges else Known(lambda c: self.chunk_ids(c, " "))  # chunks that one space leads, without it
+        self.parts = Known(self.library_ids)  # words out of chunks that hold several
+
+    @functools.cached_property
+    def bytes_of(self) -> list[bytes]:
+        """The bytes that each id stands for."""
         code = {c: b for b, c in enumerate(self.alphabet)}
-        self.bytes_of = [b""] * self.size
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(code[c] for c in token) if all(c in code for c in token) else token.encode()
+        out = [b""] * self.size
+        for token, i in self.vocab.items():
+            out[i] = bytes(code[c] for c in token) if all(c in code for c in token) else token.encode()
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
-        self.decimal = [str(i) for i in range(self.size)]
-        self.cache: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # chunks that one space leads, without it
+            out[i] = token.encode()
+        return out
+
+    @functools.cached_property
+    def decimal(self) -> list[str]:
+        return [str(i) for i in range(self.size)]
 
     def _tabulate(self) -> None:
         """The merges as flat arrays for look-ups of many pairs at once: open addressing, one array per probe."""
@@ -257,20 +289,27 @@ class Bpe:
             offer(i)
         return [p for p, keep in zip(parts, alive, strict=True) if keep]
 
+    def library_ids(self, w: str, lead: str = "") -> bytes:
+        """Ids of ``lead`` and a word by the library's model."""
+        if not (w.isascii() and w.isalnum()):  # other printable bytes stand for themselves
+            w = w.encode().decode("latin-1").translate(self.of_bytes)
+        return array(self.kind, [t.id for t in self.tokenize(self.alphabet[32] + w if lead else w)]).tobytes()
+
+    def chunk_ids(self, chunk: str, lead: str) -> bytes:
+        """Ids of ``lead`` and a chunk by the library's model; letters alone, or with one stop after them, need no pattern."""
+        x, known = chunk, self.spaced if lead else self.cache
+        if self.words:
+            x = lower(x if x.isascii() else unicodedata.normalize("NFC", x))
+            if not x.isascii():
+                known = self.parts  # these are not normalised again
+        if x.isalpha():
+            return self.library_ids(x, lead) if x == chunk else known[x]
+        if x[-1:] in STOPS and x[:-1].isalpha():
+            return known[x[:-1]] + self.parts[x[-1]]
+        return b"".join(map(self.parts.__getitem__, self.pieces(lead + chunk)))
+
     def learn(self, missing: list[str]) -> None:
         """Put words into the cache."""
-        if self.library is not None:
-            tokenize, of_bytes, space = self.library.model.tokenize, dict(enumerate(self.alphabet)), self.alphabet[32]
-            kind = "H" if self.dtype.itemsize == 2 else "I"
-            for w in missing:
-                if w.isascii() and w.isalnum():  # printable bytes stand for themselves
-                    made = tokenize(w)
-                elif w[0] == " " and w.isascii() and w[1:].isalnum():
-                    made = tokenize(space + w[1:])
-                else:
-                    made = tokenize(w.encode().decode("latin-1").translate(of_bytes))
-                self.cache[w] = array(kind, [t.id for t in made]).tobytes()
-            return
         short = []
         for w in missing:
             raw = w.encode()
@@ -320,7 +359,7 @@ class Bpe:
                 cut = self.find_special.split(t) if self.find_special is not None and "<|" in t else [t]
                 for x in cut[::2]:
                     if self.words:
-                        words.append(self.pieces(x) if ODD_SPACE.search(x) else x.split())
+                        words.append(self.pieces(x) if odd_space(x) else x.split())
                         spaced.append(())
                     elif not single_spaced(x):
                         words.append(self.chunks(x))
@@ -330,13 +369,13 @@ class Bpe:
                         words.append(rest[:1] if x else [])
                         spaced.append(rest[1:])
                 parts.append(cut)
-            for kept in (self.cache, self.spaced):
+            for kept in (self.cache, self.spaced, self.parts):
                 if len(kept) > CACHE + RECENT:  # entries past CACHE are recent ones: they go when RECENT of them have come
-                    for w in list(kept)[CACHE:]:
+                    for w in list(islice(kept, CACHE, None)):
                         del kept[w]
             get, get_spaced = self.cache.__getitem__, self.spaced.__getitem__
-            fresh = [(self.cache, "", set().union(*words).difference(self.cache)), (self.spaced, " ", set().union(*spaced).difference(self.spaced))]
-            if fresh[0][2] or fresh[1][2]:
+            fresh = () if self.library is not None else [(self.cache, "", set().union(*words).difference(self.cache)), (self.spaced, " ", set().union(*spaced).difference(self.spaced))]
+            if fresh and (fresh[0][2] or fresh[1][2]):
                 cut_up = [[(c, self.chunk_pieces(c, lead)) for c in new] for _, lead, new in fresh]
                 self.learn(list({w for cuts in cut_up for _, cut in cuts for w in cut}.difference(self.cache)))
                 for (dest, _, _), cuts in zip(fresh, cut_up, strict=True):

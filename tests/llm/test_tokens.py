@@ -136,3 +136,12 @@ def test_far_files_and_their_names(tmp_path):
     assert far[10:20].tolist() == list(range(10, 20)) and far[95:200].tolist() == list(range(95, 100)) and far.size == 100
     assert token_files._store(f"file:{tmp_path}/x")[1] == token_files._store(f"file://{tmp_path}/x")[1] == token_files._store(f"{tmp_path}/x")[1] == f"{tmp_path}/x"
     assert token_files.arrow_name("s3a://bucket/some/key") == "s3://bucket/some/key" and token_files.arrow_name("hdfs://host:9000/a") == "hdfs://host:9000/a"
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_plain_words_meet_no_pattern(path):
+    """Letters of any script, with one stop after them or none, are cut without the pattern, and their ids are the library's."""
+    model = bpe.Bpe(path, False)
+    model.split = None
+    texts = ["Été déjà, où! là été; Straße", "Привет, мир. Ещё? 漢字 かな: ǅ ﬁ", "Foo foo foo. FOO, fOO!"]
+    assert [x.tolist() for x in model.encode_many(texts)] == [e.ids for e in REF[path].encode_batch(texts, add_special_tokens=False)]
