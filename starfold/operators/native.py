@@ -1,7 +1,8 @@
 """The template fit as a function of Spark's JVM: the kernels of ``fit`` in Java, compiled in memory by the compiler that Spark ships.
 
 They take the same steps as ``fit.fit_dusty`` and ``fit.fit_offsets``, with the starts of many trials side by side in place of
-passes over arrays; sums go by observation and may differ in their last digits.  The class goes to the executors as a jar, as Spark's ``ADD JAR`` sends it.
+passes over arrays.  The move of a step follows from sums, not from residuals, and short templates are lines with bends, not tables,
+so last digits may differ.  The class goes to the executors as a jar, as Spark's ``ADD JAR`` sends it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ package starfold;
 
 public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Serializable {
   static final double SMALL = 1e-20;
-  static final int LANES = 176;  // of a block; rows of a power of two would compete for the same lines of the cache
-  static final int CELLS = 1 << 17;  // (lane x observation) of a block
+  static final int LANES = 352;  // of a block; rows of a power of two would compete for the same lines of the cache
+  static final int WIDE = 16;  // knots of a band up to which bends cost less than a look-up
 
   static double[] numbers(Object o) {
     scala.collection.Seq s = (scala.collection.Seq) o;
@@ -70,84 +71,120 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     return true;
   }
 
-  // A lane is one start of one trial.  Each loop below takes one observation at all lanes, with nothing but arithmetic on
-  // rows of lanes, which the JVM turns into vector instructions; only the look-up of knots goes lane by lane.
+  // A lane is one start of one trial.  Each loop below takes one observation, or four of one band, at all lanes, with nothing
+  // but arithmetic on rows of lanes, which the JVM turns into vector instructions if there is not too much of it in one loop;
+  // only the look-up of knots goes lane by lane.  Values g and slopes s come times q, the root of the weight; a step needs
+  // seven sums of them, from which both its linear solution and its move follow.
 
-  /** Where an observation is between knots and, as the low bits of a double, which ``from`` lifts to 2^52, the place of the knot before. */
-  static void phases(int lanes, double t, double wide, double from, double[] freq, double[] phi, double[] part, double[] place) {
-    for (int l = 0; l < lanes; l++) {
-      double v = freq[l] * t + phi[l], x = (v - Math.floor(v)) * wide, k = Math.floor(x);
-      part[l] = x - k;
-      place[l] = k * 4 + from;
-    }
+  static void places(int lanes, double t, double wide, double[] freq, double[] phi, double[] x) {
+    for (int l = 0; l < lanes; l++) { double v = freq[l] * t + phi[l]; x[l] = (v - Math.floor(v)) * wide; }
+  }
+
+  /** How far a place is from the knot before and, as the low bits of a double, which ``from`` lifts to 2^52, where that knot is. */
+  static void knots(int lanes, double from, double[] x, double[] place) {
+    for (int l = 0; l < lanes; l++) { double y = x[l], k = Math.floor(y); x[l] = y - k; place[l] = k * 4 + from; }
   }
 
-  static void curves(int lanes, double[] part, double[] place, double[] knot, double[] g, double[] s) {
+  static void curves(int lanes, double q, double[] part, double[] place, double[] knot, double[] g, double[] s) {
     for (int l = 0; l < lanes; l++) {
       int k = (int) Double.doubleToRawLongBits(place[l]);
       double f = part[l];
-      g[l] = knot[k] + f * knot[k + 1];
-      s[l] = knot[k + 2] + f * knot[k + 3];
+      g[l] = q * (knot[k] + f * knot[k + 1]);
+      s[l] = q * (knot[k + 2] + f * knot[k + 3]);
     }
   }
 
-  static void values(int lanes, double[] part, double[] place, double[] knot, double[] g) {
-    for (int l = 0; l < lanes; l++) { int k = (int) Double.doubleToRawLongBits(place[l]); g[l] = knot[k] + part[l] * knot[k + 1]; }
+  static void values(int lanes, double q, double[] part, double[] place, double[] knot, double[] g) {
+    for (int l = 0; l < lanes; l++) { int k = (int) Double.doubleToRawLongBits(place[l]); g[l] = q * (knot[k] + part[l] * knot[k + 1]); }
   }
 
-  static void constants(int lanes, double w, double wd, double mag, double[] beta, double[] sy, double[] sdy) {
-    for (int l = 0; l < lanes; l++) { double y = mag - beta[l]; sy[l] += w * y; sdy[l] += wd * y; }
+  /** The same without a look-up: a line and at each inner knot k its bend, a multiple of |x - k|; here the first three. */
+  static void bends(int lanes, double q, double[] gc, double[] sc, int o, double[] x, double[] g, double[] s) {
+    double g0 = q * gc[o], g1 = q * gc[o + 1], g2 = q * gc[o + 2], g3 = q * gc[o + 3], g4 = q * gc[o + 4];
+    double s0 = q * sc[o], s1 = q * sc[o + 1], s2 = q * sc[o + 2], s3 = q * sc[o + 3], s4 = q * sc[o + 4];
+    for (int l = 0; l < lanes; l++) {
+      double y = x[l], a = Math.abs(y - 1), b = Math.abs(y - 2), c = Math.abs(y - 3);
+      g[l] = Math.fma(g4, c, Math.fma(g3, b, Math.fma(g2, a, Math.fma(g1, y, g0))));
+      s[l] = Math.fma(s4, c, Math.fma(s3, b, Math.fma(s2, a, Math.fma(s1, y, s0))));
+    }
   }
 
-  static void moments(int lanes, double w, double d, double mag, double[] beta, double[] g, double[] g1, double[] g2, double[] g3, double[] g4) {
-    for (int l = 0; l < lanes; l++) { double v = g[l], x = w * v; g1[l] += x; g2[l] += x * d; g3[l] += x * v; g4[l] += x * (mag - beta[l]); }
+  /** Four more, from the knot k. */
+  static void bendsMore(int lanes, double q, double k, double[] gc, double[] sc, int o, double[] x, double[] g, double[] s) {
+    double g1 = q * gc[o], g2 = q * gc[o + 1], g3 = q * gc[o + 2], g4 = q * gc[o + 3], s1 = q * sc[o], s2 = q * sc[o + 1], s3 = q * sc[o + 2], s4 = q * sc[o + 3];
+    double k2 = k + 1, k3 = k + 2, k4 = k + 3;
+    for (int l = 0; l < lanes; l++) {
+      double y = x[l], a = Math.abs(y - k), b = Math.abs(y - k2), c = Math.abs(y - k3), d = Math.abs(y - k4);
+      g[l] = Math.fma(g4, d, Math.fma(g3, c, Math.fma(g2, b, Math.fma(g1, a, g[l]))));
+      s[l] = Math.fma(s4, d, Math.fma(s3, c, Math.fma(s2, b, Math.fma(s1, a, s[l]))));
+    }
   }
 
-  static void residuals(int lanes, double d, double mag, double[] beta, double[] c0, double[] c1, double[] c2, double[] g, double[] left) {
-    for (int l = 0; l < lanes; l++) left[l] = mag - beta[l] - c0[l] - c1[l] * d - c2[l] * g[l];
+  static void bends(int lanes, double q, double[] gc, int o, double[] x, double[] g) {
+    double g0 = q * gc[o], g1 = q * gc[o + 1], g2 = q * gc[o + 2], g3 = q * gc[o + 3], g4 = q * gc[o + 4];
+    for (int l = 0; l < lanes; l++) {
+      double y = x[l];
+      g[l] = Math.fma(g4, Math.abs(y - 3), Math.fma(g3, Math.abs(y - 2), Math.fma(g2, Math.abs(y - 1), Math.fma(g1, y, g0))));
+    }
   }
 
-  static void plainResiduals(int lanes, double mag, double[] mu, double[] amp, double[] g, double[] left) {
-    for (int l = 0; l < lanes; l++) left[l] = mag - mu[l] - amp[l] * g[l];
+  static void bendsMore(int lanes, double q, double k, double[] gc, int o, double[] x, double[] g) {
+    double g1 = q * gc[o], g2 = q * gc[o + 1], g3 = q * gc[o + 2], g4 = q * gc[o + 3], k2 = k + 1, k3 = k + 2, k4 = k + 3;
+    for (int l = 0; l < lanes; l++) {
+      double y = x[l];
+      g[l] = Math.fma(g4, Math.abs(y - k4), Math.fma(g3, Math.abs(y - k3), Math.fma(g2, Math.abs(y - k2), Math.fma(g1, Math.abs(y - k), g[l]))));
+    }
   }
 
-  static void descents(int lanes, double w, double[] amp, double[] s, double[] left, double[] down, double[] up) {
-    for (int l = 0; l < lanes; l++) { double slope = amp[l] * s[l], x = w * slope; down[l] += x * slope; up[l] += x * left[l]; }
+  /** Adds four observations of one band, times what ``by`` has from the i-th. */
+  static void firsts(int lanes, int i, double[] by, double[] a, double[] b, double[] c, double[] d, double[] sum) {
+    double p = by[i], q = by[i + 1], r = by[i + 2], s = by[i + 3];
+    for (int l = 0; l < lanes; l++) sum[l] += Math.fma(p, a[l], q * b[l]) + Math.fma(r, c[l], s * d[l]);
   }
 
-  static void squares(int lanes, double w, double[] left, double[] sum) {
-    for (int l = 0; l < lanes; l++) { double x = left[l]; sum[l] += w * x * x; }
+  static void seconds(int lanes, double[] a, double[] b, double[] c, double[] d, double[] sum) {
+    for (int l = 0; l < lanes; l++) { double e = a[l], f = b[l], g = c[l], h = d[l]; sum[l] += Math.fma(e, e, f * f) + Math.fma(g, g, h * h); }
   }
 
-  static void weights(int lanes, double w, double[] g, double[] sum) { for (int l = 0; l < lanes; l++) sum[l] += w * g[l]; }
+  static void mixed(int lanes, double[] a, double[] b, double[] e, double[] f, double[] sum) {
+    for (int l = 0; l < lanes; l++) sum[l] += Math.fma(a[l], e[l], b[l] * f[l]);
+  }
 
-  static void offsets(int lanes, double sm, double under, double[] amp, double[] sum, double[] mu) {
-    for (int l = 0; l < lanes; l++) mu[l] = (sm - amp[l] * sum[l]) / under;
+  static void squares(int lanes, double q, double m, double[] base, double[] amp, double[] g, double[] sum) {
+    for (int l = 0; l < lanes; l++) { double x = m - q * base[l] - amp[l] * g[l]; sum[l] += x * x; }
   }
 
-  static void amplitudes(int lanes, double w, double mag, double[] mu, double[] g, double[] g3, double[] g4) {
-    for (int l = 0; l < lanes; l++) { double v = g[l], x = w * v; g3[l] += x * v; g4[l] += x * (mag - mu[l]); }
+  static void less(int lanes, double[] a, double[] b, double[] sum) { for (int l = 0; l < lanes; l++) sum[l] -= a[l] * b[l]; }
+
+  static void more(int lanes, double f, double[] a, double[] sum) { for (int l = 0; l < lanes; l++) sum[l] += f * a[l]; }
+
+  static void bases(int lanes, double d, double[] beta, double[] c0, double[] c1, double[] base) { for (int l = 0; l < lanes; l++) base[l] = beta[l] + c0[l] + c1[l] * d; }
+
+  static void offsets(int lanes, double sm, double under, double[] amp, double[] sum, double[] mu) {
+    for (int l = 0; l < lanes; l++) mu[l] = (sm - amp[l] * sum[l]) / under;
   }
 
-  /** What one call works on: observations, then rows of lanes (c: coefficients, the amplitude last; beta: constants by band). */
-  transient int n, bands, wide, each, found;
+  /** What one call works on: observations (but for a walk by band, less its ``mean`` and in fours), then rows of lanes (c: coefficients, the amplitude last; beta: constants by band). */
+  transient int n, bands, wide, each, found, step;
   transient double sign, s0, s1, s2, bestRss, bestPhi;
   transient boolean dusty;
   transient int[] band, off;
-  transient boolean[] live;
-  transient double[] t, mag, w, d, wd, from, sw, sm, knot, freqs, phi, part, place, sy, sdy, down, up, left, rest, best;
-  transient double[][] g, s, c, beta, sum;
+  transient boolean[] live, real;
+  transient double[] t, mag, w, q, m, d, wd, dust, mean, from, sw, sm, knot, gc, sc, freqs, phi, part, place, gg, gs, ss, gm, vm, one, two, sy, sdy, rest, best, none;
+  transient double[][] g, s, c, beta, base, gb, sb;
 
   static void clear(double[] a, int lanes) { java.util.Arrays.fill(a, 0, lanes, 0.0); }
 
   void rows(int lanes, int width) {
     live = new boolean[lanes];
-    freqs = new double[lanes]; phi = new double[lanes]; part = new double[lanes]; place = new double[lanes]; sy = new double[lanes]; sdy = new double[lanes];
-    down = new double[lanes]; up = new double[lanes]; left = new double[lanes]; rest = new double[lanes];
-    g = new double[n][lanes]; s = new double[n][lanes]; c = new double[width][lanes]; beta = new double[bands][lanes]; sum = new double[Math.max(4, bands)][lanes];
+    freqs = new double[lanes]; phi = new double[lanes]; part = new double[lanes]; place = new double[lanes]; rest = new double[lanes];
+    gg = new double[lanes]; gs = new double[lanes]; ss = new double[lanes]; gm = new double[lanes]; vm = new double[lanes];
+    one = new double[lanes]; two = new double[lanes]; sy = new double[lanes]; sdy = new double[lanes];
+    none = new double[lanes]; g = new double[4][lanes]; s = new double[4][lanes]; c = new double[width][lanes]; beta = new double[bands][lanes];
+    gb = new double[bands][lanes]; sb = new double[bands][lanes]; base = dusty ? new double[bands][lanes] : c;
   }
 
-  /** Lanes of ``now`` trials from the k-th, with starts at equal distances. */
+  /** Lanes of ``now`` trials from the k-th, with starts at equal distances; offsets are 0 before ``mean`` is taken off. */
   void begin(double[] freq, int k, int now, double[] table, int at) {
     int lanes = now * each;
     for (int l = 0; l < lanes; l++) {
@@ -160,54 +197,86 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     for (int i = 0; i < c.length; i++) clear(c[i], lanes);
     if (dusty) {
       clear(sy, lanes); clear(sdy, lanes);
-      for (int i = 0; i < n; i++) constants(lanes, w[i], wd[i], mag[i], beta[band[i]], sy, sdy);
-    } else java.util.Arrays.fill(c[bands], 0, lanes, 1.0);
+      for (int b = 0; b < bands; b++) for (int l = 0; l < lanes; l++) { double y = sm[b] - beta[b][l] * sw[b]; sy[l] += y; sdy[l] += y * dust[b]; }
+      java.util.Arrays.fill(c[0], 0, lanes, -mean[0]);
+      level(lanes);
+      return;
+    }
+    for (int b = 0; b < bands; b++) java.util.Arrays.fill(c[b], 0, lanes, -mean[b]);
+    java.util.Arrays.fill(c[bands], 0, lanes, 1.0);
   }
 
-  void look(int lanes) {
-    for (int i = 0; i < n; i++) {
-      phases(lanes, t[i], wide, from[i], freqs, phi, part, place);
-      curves(lanes, part, place, knot, g[i], s[i]);
+  void look(int lanes, int i, double[] g, double[] s) {
+    places(lanes, t[i], wide, freqs, phi, part);
+    if (gc == null) {
+      knots(lanes, from[i], part, place);
+      curves(lanes, q[i], part, place, knot, g, s);
+      return;
     }
+    int o = band[i] * step;
+    bends(lanes, q[i], gc, sc, o, part, g, s);
+    for (int k = 4; k < wide; k += 4) bendsMore(lanes, q[i], k, gc, sc, o + k + 1, part, g, s);
   }
 
-  void linear(int lanes) {
-    for (int i = 0; i < 4; i++) clear(sum[i], lanes);
-    double[] g1 = sum[0], g2 = sum[1], g3 = sum[2], g4 = sum[3];
-    for (int i = 0; i < n; i++) moments(lanes, w[i], d[i], mag[i], beta[band[i]], g[i], g1, g2, g3, g4);
-    for (int l = 0; l < lanes; l++) live[l] = live[l] && solved(s0, s1, g1[l], sy[l], s2, g2[l], sdy[l], g3[l], g4[l], c[0], c[1], c[2], l);
+  void look(int lanes, int i, double[] g) {
+    places(lanes, t[i], wide, freqs, phi, part);
+    if (gc == null) {
+      knots(lanes, from[i], part, place);
+      values(lanes, q[i], part, place, knot, g);
+      return;
+    }
+    int o = band[i] * step;
+    bends(lanes, q[i], gc, o, part, g);
+    for (int k = 4; k < wide; k += 4) bendsMore(lanes, q[i], k, gc, o + k + 1, part, g);
   }
 
-  void plain(int lanes) {
-    double[] amp = c[bands], g3 = sum[0], g4 = sum[1];
-    for (int b = 0; b < bands; b++) clear(sum[b], lanes);
-    for (int i = 0; i < n; i++) weights(lanes, w[i], g[i], sum[band[i]]);
-    for (int b = 0; b < bands; b++) offsets(lanes, sm[b], sw[b] > 0 ? sw[b] : 1, amp, sum[b], c[b]);
-    clear(g3, lanes); clear(g4, lanes);
-    for (int i = 0; i < n; i++) amplitudes(lanes, w[i], mag[i], c[band[i]], g[i], g3, g4);
-    for (int l = 0; l < lanes; l++) if (g3[l] > SMALL) amp[l] = g4[l] / g3[l];
+  void add(int lanes) {
+    for (int b = 0; b < bands; b++) { clear(gb[b], lanes); clear(sb[b], lanes); }
+    clear(gg, lanes); clear(gs, lanes); clear(ss, lanes); clear(gm, lanes); clear(vm, lanes);
+    for (int i = 0; i < n; i += 4) {
+      int b = band[i], many = 1;
+      look(lanes, i, g[0], s[0]);
+      while (many < 4 && real[i + many]) { look(lanes, i + many, g[many], s[many]); many++; }
+      double[] g2 = many > 1 ? g[1] : none, g3 = many > 2 ? g[2] : none, g4 = many > 3 ? g[3] : none;
+      double[] v2 = many > 1 ? s[1] : none, v3 = many > 2 ? s[2] : none, v4 = many > 3 ? s[3] : none;
+      firsts(lanes, i, q, g[0], g2, g3, g4, gb[b]);
+      firsts(lanes, i, m, g[0], g2, g3, g4, gm);
+      firsts(lanes, i, q, s[0], v2, v3, v4, sb[b]);
+      firsts(lanes, i, m, s[0], v2, v3, v4, vm);
+      seconds(lanes, g[0], g2, g3, g4, gg);
+      seconds(lanes, s[0], v2, v3, v4, ss);
+      mixed(lanes, g[0], g2, s[0], v2, gs);
+      if (many > 2) mixed(lanes, g3, g4, v3, v4, gs);
+    }
   }
 
-  void residual(int i, int lanes, double[] g) {
-    if (dusty) residuals(lanes, d[i], mag[i], beta[band[i]], c[0], c[1], c[2], g, left);
-    else plainResiduals(lanes, mag[i], c[band[i]], c[bands], g, left);
+  void linear(int lanes) {
+    clear(one, lanes); clear(two, lanes);
+    for (int b = 0; b < bands; b++) { more(lanes, 1, gb[b], one); more(lanes, dust[b], gb[b], two); less(lanes, beta[b], gb[b], gm); }
+    for (int l = 0; l < lanes; l++) live[l] = live[l] && solved(s0, s1, one[l], sy[l], s2, two[l], sdy[l], gg[l], gm[l], c[0], c[1], c[2], l);
+    level(lanes);
+  }
+
+  void level(int lanes) { for (int b = 0; b < bands; b++) bases(lanes, dust[b], beta[b], c[0], c[1], base[b]); }
+
+  void plain(int lanes) {
+    double[] amp = c[bands];
+    for (int b = 0; b < bands; b++) { offsets(lanes, sm[b], sw[b] > 0 ? sw[b] : 1, amp, gb[b], c[b]); less(lanes, c[b], gb[b], gm); }
+    for (int l = 0; l < lanes; l++) if (gg[l] > SMALL) amp[l] = gm[l] / gg[l];
   }
 
   void turn(int lanes) {
-    clear(down, lanes); clear(up, lanes);
     double[] amp = c[c.length - 1];
-    for (int i = 0; i < n; i++) { residual(i, lanes, g[i]); descents(lanes, w[i], amp, s[i], left, down, up); }
-    for (int l = 0; l < lanes; l++) if (live[l] && Math.abs(down[l]) > SMALL) { double x = phi[l] + sign * up[l] / down[l]; phi[l] = x - Math.floor(x); }
+    for (int b = 0; b < bands; b++) less(lanes, base[b], sb[b], vm);
+    for (int l = 0; l < lanes; l++) {
+      double a = amp[l], down = a * a * ss[l];
+      if (live[l] && Math.abs(down) > SMALL) { double x = phi[l] + sign * (a * (vm[l] - a * gs[l])) / down; phi[l] = x - Math.floor(x); }
+    }
   }
 
   void finish(int lanes) {
     clear(rest, lanes);
-    for (int i = 0; i < n; i++) {
-      phases(lanes, t[i], wide, from[i], freqs, phi, part, place);
-      values(lanes, part, place, knot, g[0]);
-      residual(i, lanes, g[0]);
-      squares(lanes, w[i], left, rest);
-    }
+    for (int i = 0; i < n; i++) if (real[i]) { look(lanes, i, g[0]); squares(lanes, q[i], m[i], base[band[i]], c[c.length - 1], g[0], rest); }
   }
 
   /** Takes the least of each trial's lanes. */
@@ -272,6 +341,53 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     return out;
   }
 
+  /** Coefficients of ``bends`` by band, ``step`` of them: a line's two, then half the change of slope at each inner knot. */
+  static double[] bent(double[] closed, int bands, int wide, int step) {
+    double[] out = new double[bands * step];
+    for (int b = 0, o = 0, i = 0; b < bands; b++, o += step, i += wide + 1) {
+      out[o] = closed[i];
+      out[o + 1] = (closed[i + 1] - closed[i] + closed[i + wide] - closed[i + wide - 1]) / 2;
+      for (int k = 1; k < wide; k++) {
+        double c = (closed[i + k + 1] - 2 * closed[i + k] + closed[i + k - 1]) / 2;
+        out[o + 1 + k] = c;
+        out[o] -= c * k;
+      }
+    }
+    return out;
+  }
+
+  void alone(int n, double[] t, double[] mag, double[] w, int[] band, int[] off) {
+    this.n = n; this.t = t; this.mag = mag; this.w = w; this.band = band; this.off = off;
+    d = new double[n]; wd = new double[n];
+    for (int i = 0; i < n; i++) { d[i] = dust[band[i]]; wd[i] = w[i] * d[i]; s0 += w[i]; s1 += wd[i]; s2 += wd[i] * d[i]; sw[band[i]] += w[i]; }
+  }
+
+  /** By band, filled up to fours; magnitudes less their band's mean, in the dusty mode that of all, so that little cancels in sums. */
+  void grouped(int many, double[] times, double[] mags, double[] weights, int[] which, double[] gv, double[] sv) {
+    int[] count = new int[bands];
+    double all = 0;
+    for (int i = 0; i < many; i++) { int b = which[i]; double x = weights[i]; count[b]++; sw[b] += x; mean[b] += x * mags[i]; s0 += x; all += x * mags[i]; }
+    for (int b = 0; b < bands; b++) {
+      mean[b] = dusty ? s0 > 0 ? all / s0 : 0 : sw[b] > 0 ? mean[b] / sw[b] : 0;
+      s1 += sw[b] * dust[b]; s2 += sw[b] * dust[b] * dust[b];
+      n += (count[b] + 3) / 4 * 4;
+    }
+    t = new double[n]; q = new double[n]; m = new double[n]; from = new double[n]; band = new int[n]; real = new boolean[n];
+    for (int b = 0, k = 0; b < bands; b++, k = (k + 3) / 4 * 4) for (int i = 0; i < many; i++) if (which[i] == b) {
+      double x = mags[i] - mean[b];
+      t[k] = times[i]; q[k] = Math.sqrt(weights[i]); m[k] = q[k] * x; from[k] = 4503599627370496.0 + 4 * b * (wide + 1); band[k] = b; real[k] = true;
+      sm[b] += weights[i] * x;
+      k++;
+    }
+    if (wide <= WIDE) {
+      step = 5 + wide / 4 * 4;
+      gc = bent(gv, bands, wide, step); sc = bent(sv, bands, wide, step);
+      return;
+    }
+    knot = new double[4 * gv.length];
+    for (int i = 0; i + 1 < gv.length; i++) { knot[4 * i] = gv[i]; knot[4 * i + 1] = gv[i + 1] - gv[i]; knot[4 * i + 2] = sv[i]; knot[4 * i + 3] = sv[i + 1] - sv[i]; }
+  }
+
   static boolean better(double x, double best) { return x < best || (Double.isNaN(x) && !Double.isNaN(best)); }
 
   public Object call(Object times, Object mags, Object errors, Object bandNames, Object templateBands, Object templateTable, Object range, Object settings) {
@@ -315,26 +431,20 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
 
     double[] gv = closed(table, 2, bands, wide), sv = closed(table, 2 + bands * wide, bands, wide);
     int dust = 2 + 2 * bands * wide, width = dusty ? 3 : bands + 1, each = warm ? 1 : starts;
-    int many = warm ? 1 : Math.max(1, Math.min(nf, Math.min(LANES, CELLS / n) / each));
+    int many = warm ? 1 : Math.max(1, Math.min(nf, LANES / each));
     @NAME@ x = new @NAME@();
-    x.n = n; x.bands = bands; x.wide = wide; x.each = each; x.dusty = dusty; x.sign = sign;
-    x.t = t; x.mag = mag; x.w = w; x.band = band; x.off = off; x.best = new double[width]; x.found = -1; x.bestRss = Double.POSITIVE_INFINITY;
-    x.knot = new double[4 * gv.length]; x.from = new double[n]; x.d = new double[n]; x.wd = new double[n]; x.sw = new double[bands]; x.sm = new double[bands];
-    for (int i = 0; i + 1 < gv.length; i++) { x.knot[4 * i] = gv[i]; x.knot[4 * i + 1] = gv[i + 1] - gv[i]; x.knot[4 * i + 2] = sv[i]; x.knot[4 * i + 3] = sv[i + 1] - sv[i]; }
-    for (int i = 0; i < n; i++) {
-      if (dusty) { x.d[i] = table[dust + band[i]]; x.wd[i] = w[i] * x.d[i]; x.s0 += w[i]; x.s1 += x.wd[i]; x.s2 += x.wd[i] * x.d[i]; }
-      x.from[i] = 4503599627370496.0 + 4 * off[i];
-      x.sw[band[i]] += w[i];
-      x.sm[band[i]] += w[i] * mag[i];
-    }
+    x.bands = bands; x.wide = wide; x.each = each; x.dusty = dusty; x.sign = sign; x.best = new double[width]; x.found = -1; x.bestRss = Double.POSITIVE_INFINITY;
+    x.dust = new double[bands]; x.mean = new double[bands]; x.sw = new double[bands]; x.sm = new double[bands];
+    if (dusty) for (int b = 0; b < bands; b++) x.dust[b] = table[dust + b];
+    if (warm) x.alone(n, t, mag, w, band, off); else x.grouped(n, t, mag, w, band, gv, sv);
     x.rows(many * each, width);
-    double[] rss = new double[nf], best = x.best, sw = x.sw;
+    double[] rss = new double[nf], best = x.best;
     if (warm) x.walk(freq, newton, table, dust + bands, gv, sv, rss);
     else for (int k = 0; k < nf; k += many) {
       int now = Math.min(many, nf - k), lanes = now * each;
       x.begin(freq, k, now, table, dust + bands);
       for (int step = 0; step < newton; step++) {
-        x.look(lanes);
+        x.add(lanes);
         if (dusty) x.linear(lanes); else x.plain(lanes);
         x.turn(lanes);
       }
@@ -345,8 +455,8 @@ public class @NAME@ implements org.apache.spark.sql.api.java.UDF8, java.io.Seria
     if (found < 0) return new double[0][];
     double[] out = new double[8 + (dusty ? 0 : bands)];
     out[0] = 1 / freq[found]; out[1] = x.bestPhi; out[2] = x.bestRss; out[3] = median(rss); out[4] = n; out[5] = best[width - 1];
-    out[6] = dusty ? best[0] : Double.NaN; out[7] = dusty ? best[1] : Double.NaN;
-    if (!dusty) for (int b = 0; b < bands; b++) out[8 + b] = sw[b] > 0 ? best[b] : Double.NaN;
+    out[6] = dusty ? best[0] + x.mean[0] : Double.NaN; out[7] = dusty ? best[1] : Double.NaN;
+    if (!dusty) for (int b = 0; b < bands; b++) out[8 + b] = x.sw[b] > 0 ? best[b] + x.mean[b] : Double.NaN;
     return new double[][] {out};
   }
 }

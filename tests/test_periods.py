@@ -267,3 +267,33 @@ def test_a_fit_by_windows_spreads_over_tasks(spark):
     windows = lc.select("object_id").distinct().select("object_id", F.lit("mb").alias("template_id"), F.lit(0.5).alias("low"), F.lit(0.6).alias("high"))
     found = fit.fit(lc, [FLAT], dphi=0.1, windows=windows).withColumn("task", F.spark_partition_id()).collect()
     assert len(found) == 24 and len({r["task"] for r in found}) == 4
+
+
+def test_fits_by_templates_of_any_width_are_those_of_the_kernels(spark):
+    """Short templates go without a look-up, long ones with it; bands hold one to ten rows, one of them none."""
+    rng = np.random.default_rng(8)
+    bands = ["g"] * 10 + ["r"] * 7 + ["i"]
+    t, m, e = np.sort(rng.uniform(0, 30, 18)), 14 + rng.normal(0, 0.4, 18), rng.uniform(0.05, 0.2, 18)
+    bands = [bands[i] for i in rng.permutation(18)]
+    lc = spark.createDataFrame([(1, i, float(t[i]), bands[i], float(m[i]), float(e[i])) for i in range(18)], LIGHT_CURVE)
+    for wide in (2, 3, 4, 5, 8, 9, 12, 16, 17, 40):
+        for dusty in (True, False):
+            tpl = templates.synthetic("w", ("g", "r", "z", "i"), wide, 0.1, dusty=dusty)
+            r = fit.fit(lc, [tpl], 0.3, 0.5).first()
+            freq = fit.frequencies(t, 0.3, 0.5)
+            rss, phi, coef = fit.fitted(t, m, e, bands, tpl, freq)
+            k = rss.argmin()
+            assert [r["period"], r["phi"], r["rss"], r["rss_median"], r["A"]] == pytest.approx([1 / freq[k], phi[k], rss[k], np.median(rss), coef[k, -1]], rel=1e-6)
+            if dusty:
+                assert [r["mu"], r["ebv"]] == pytest.approx(list(coef[k, :2]), rel=1e-6)
+            else:
+                assert r["mu_band"] == pytest.approx({b: x for b, x in zip(tpl.bands, coef[k, :-1]) if b != "z"}, rel=1e-6)
+
+
+def test_a_fit_does_not_depend_on_the_level_of_magnitudes(spark):
+    """A step takes differences of sums, so nothing may be lost in them to a large mean."""
+    lc = star(spark, n=15, objects=4, curve=injected(TPL, 0.55)).withColumn("mag", F.round(F.col("mag") * 1024) / 1024)
+    for tpl in (TPL, FLAT):
+        low, high = ({r["object_id"]: r for r in fit.fit(x, [tpl], 0.4, 0.1).collect()} for x in (lc, lc.withColumn("mag", F.col("mag") + 2.0**30)))
+        for o, r in low.items():
+            assert [high[o][c] for c in ("period", "phi", "rss", "rss_median", "A")] == pytest.approx([r[c] for c in ("period", "phi", "rss", "rss_median", "A")], rel=1e-7)
