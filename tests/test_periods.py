@@ -297,3 +297,13 @@ def test_a_fit_does_not_depend_on_the_level_of_magnitudes(spark):
         low, high = ({r["object_id"]: r for r in fit.fit(x, [tpl], 0.4, 0.1).collect()} for x in (lc, lc.withColumn("mag", F.col("mag") + 2.0**30)))
         for o, r in low.items():
             assert [high[o][c] for c in ("period", "phi", "rss", "rss_median", "A")] == pytest.approx([r[c] for c in ("period", "phi", "rss", "rss_median", "A")], rel=1e-7)
+
+
+def test_threshold_holds_the_bands_of_a_trial_period_together(spark):
+    """So files hold frequency and period once for all bands, of which one may be null, constant or a single row."""
+    lc = star(spark, n=12, objects=2, bands=("g", "r", "i", "z")).withColumn("mag", F.when(F.col("band") == "i", 14.0).otherwise(F.col("mag")))
+    lc = lc.where("band != 'z' or row_id % 12 = 0").withColumn("band", F.when(F.col("band") != "r", F.col("band")))
+    rows = periodogram.threshold(lc, 0.4, 0.5, runs=2, seed=3).collect()
+    by = {o: [(r["k"], r["band"]) for r in rows if r["object_id"] == o] for o in (0, 1)}
+    for own in by.values():
+        assert own == [(k, b) for k in range(len(own) // 2) for b in ("g", None)] and own
