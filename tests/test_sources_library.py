@@ -224,3 +224,26 @@ def test_linkage_passes_ask_for_few_rows(spark, monkeypatch):
         got = library.average_linkage(df).toPandas().sort_values("step")
         assert np.allclose(got["height"], want["height"]) and list(got["size"]) == list(want["size"])
         assert sum(r[:, 1].sum() for r in asked) < 0.5 * len(asked) * 201  # not all rows in every pass
+
+
+def test_pairs_take_little_room(spark, monkeypatch):
+    """No vector is shuffled, and rounded distances of a pair of blocks leave in order; the way with a shuffle gives the same rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    odd = df.unionByName(spark.createDataFrame([(95, [1e300] * 8), (96, None), (97, [1.0, None]), (7, rows[3][1])], df.schema))
+    named = odd.withColumn("id", F.format_string("n%03d", "id"))
+    for block in (4096, 16):
+        monkeypatch.setattr(library, "BLOCK", block)
+        monkeypatch.setattr(library, "SENT", 1 << 25)
+        for f in (library.pairwise_l2, library.pearson_distance):
+            assert "Exchange" not in f(df, to=6)._jdf.queryExecution().executedPlan().toString()
+            d = f(df, to=6).coalesce(1).toPandas()
+            assert len(d) == 90 * 89 // 2 and (np.diff(d["dist"]) < 0).sum() < 80
+        sets = []
+        for sent in (1 << 25, 0):
+            monkeypatch.setattr(library, "SENT", sent)
+            sets.append([sorted(map(str, library.pairwise_l2(g, to=6).collect())) for g in (df, odd, named)])
+        assert sets[0] == sets[1] and len(sets[0][1]) == 94 * 93 // 2 - 1
+    assert library.pairwise_l2(df.where("false"), to=6).count() == 0
